@@ -75,8 +75,8 @@ def anchors(b: bytes) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def repeats(windows: np.ndarray, places: int) -> np.ndarray:
-    """For each row and each of the first ``places`` columns: whether the LENGTH bytes from there stand in another row too.
+def repeats(windows: np.ndarray, places: int, where: np.ndarray) -> np.ndarray:
+    """For each row and each of the first ``places`` columns: whether the LENGTH bytes from there also stand in a row of another ``where``.
 
     One round a column, from the last to the first. ``order`` is the rows sorted by what is inserted so far, ``symbols``
     their preceding symbols, ``common`` the common prefix of each with the one before. Every round sorts stably by symbol;
@@ -99,9 +99,11 @@ def repeats(windows: np.ndarray, places: int) -> np.ndarray:
             new[alike] = np.minimum.reduceat(common, between)[0::2] + 1
         common = new
         if j < places:
-            hit = np.flatnonzero(common >= LENGTH)
-            found[j, order[hit]] = True
-            found[j, order[hit - 1]] = True
+            begin = np.flatnonzero(common[:-1] < LENGTH)
+            if len(begin) < rows:
+                at = where[order]
+                several = np.minimum.reduceat(at, begin) < np.maximum.reduceat(at, begin)
+                found[j, order[np.repeat(several, np.diff(begin, append=rows))]] = True
     return found.T
 
 
@@ -171,7 +173,9 @@ def _compare(places: int):
     def work(t: pa.Table):
         width = places + LENGTH - 1
         w = np.frombuffer(b"".join(x.ljust(width, b"\xff") for x in t["w"].to_pylist()), np.uint8).reshape(t.num_rows, width)
-        found = repeats(w, places)
+        place: dict = {}  # parts of one text that begin at the same byte are one occurrence
+        where = np.fromiter((place.setdefault(x, len(place)) for x in zip(*(t[c].to_pylist() for c in ("d", "th", "p")), strict=True)), np.int64, t.num_rows)
+        found = repeats(w, places, where)
         alone = t["m"].to_numpy() == 1  # the others are repeated as a whole
         p, n = t["p"].to_numpy(), t["n"].to_numpy()
         begin = p[:, None] + np.arange(places)
