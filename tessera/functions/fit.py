@@ -25,7 +25,7 @@ def stab(x: np.ndarray, low: np.ndarray, high: np.ndarray, most: int | None = No
     least, largest = -np.inf, np.inf
     done = 1
     while done < n:
-        end = min(n, done + max(BLOCK, done // 4))
+        end = min(n, done + (7 if done < 8 else max(done, BLOCK) if done < 4 * BLOCK else done // 4))
         j, i = np.arange(done, end)[:, None], np.arange(end)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             dx = x[done:end, None] - x[None, :end]

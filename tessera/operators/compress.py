@@ -46,9 +46,9 @@ def compress(points: DataFrame, max_bpc: int = 12, models: Sequence[tuple[int, i
     return with_residuals(fragments_of(p, lambda y: partition(y, models, LOSSLESS_BITS), chunk))
 
 
-def compress_linear(points: DataFrame, max_bpc: int = 12, chunk: int = CHUNK) -> DataFrame:
+def compress_linear(points: DataFrame, max_bpc: int = 12, chunk: int = CHUNK, step: int = 1) -> DataFrame:
     """Lossless fragments of lines only; values need no shift."""
-    models = grid(max_bpc, (LINEAR,))
+    models = grid(max_bpc, (LINEAR,), step)
     return with_residuals(fragments_of(points.withColumn("shift", F.lit(0).cast("bigint")), lambda y: partition(y, models, LINEAR_BITS), chunk))
 
 
