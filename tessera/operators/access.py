@@ -42,7 +42,7 @@ def at_position(fragments: DataFrame, pos: int, chunk: int = CHUNK) -> DataFrame
 
 def scan(fragments: DataFrame, first: int, end: int, chunk: int = CHUNK) -> DataFrame:
     """Positions from ``first`` to before ``end`` of every series; only fragments that overlap are opened."""
-    f = fragments.filter(F.col("chunk_id").between(first // chunk, max(first, end - 1) // chunk) & (F.col("start") < end) & (F.col("start") + F.col("len") > first))
+    f = fragments.filter(F.col("chunk_id").between(first // chunk, max(first, end - 1) // chunk) & (F.col("start") < end) & (F.col("start") + F.col("len") > first) & F.lit(first < end))
     lo = F.greatest(F.lit(first) - F.col("start"), F.lit(0))
     hi = F.least(F.lit(end) - F.col("start"), F.col("len").cast("bigint"))
     f = f.withColumn("j", F.explode(F.sequence(lo, hi - 1)))

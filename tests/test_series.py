@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -144,7 +145,11 @@ def test_stream(spark, tmp_path):
     p = pd.DataFrame({"series_id": "a", "pos": np.arange(250), "y": np.arange(250) * 0.5})
     spark.createDataFrame(p).coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("series_id string, pos long, y double").parquet(str(tmp_path / "in"))
-    q = encode_stream(s, block=100).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
+    q = encode_stream(s, block=100).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(60):
+        if spark.table("out").count() >= 2:
+            break
+        time.sleep(1)
+    q.stop()
     got = blocks.decode_blocks(spark.table("out"), 100, "double").orderBy("pos").toPandas()
     assert got["y"].tolist() == p["y"][: len(got)].tolist() and len(got) >= 200
