@@ -4,7 +4,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from tessera.llm import bpe, embeddings, exact, html, language, lines, mixing, simhash, suffix, warc
@@ -260,5 +259,5 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, d, str(tmp_path))
         assert out.columns == d.columns
-        d = spark.createDataFrame(out.toPandas().astype(object).where(lambda x: pd.notnull(x), None), d.schema)
+        d = spark.createDataFrame(out.collect(), d.schema)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == d.count() > 0
