@@ -21,24 +21,33 @@ SIGNS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits: each is set if more than half of the hashes of the text's word shingles have it; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; the whole sequence if it is shorter, none without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII white space parts
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(w))
     h = xxhash.xxh64_intdigest
     n = len(w) - k + 1
-    hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: each is set if more than half of the hashes have it; 0 without hashes."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
 
@@ -177,20 +186,123 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     links with nothing and its component is null. Very long texts are hashed in blocks; an empty table gives no rows.
     """
     signs = materialise(fingerprints(docs, shingle), "fingerprints")
+    out = signs.join(spread(_fingerprint_components(signs)), F.col("fp") == F.col("f"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+
+
+def _fingerprint_components(signs: DataFrame) -> DataFrame:
+    """``f, component_id`` per fingerprint of ``signs`` (``doc_id, fp``)."""
     classes = materialise(signs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = classes.filter("rep IS NOT NULL").select("fp", "rep", F.explode(_keys(F.col("fp"))).alias("key"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(signs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
     found = connected_components(links)
-    classes = materialise(classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id")), "components")
-    out = signs.join(spread(classes), F.col("fp") == F.col("f"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    found = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
+    return materialise(found, "components")
+
+
+#: Documents of a stage are near copies from this Jaccard similarity of their shingle sets on.
+SIMILARITY = 0.8
+#: Minima of so many permutations make a band's key. At SIMILARITY exactly, a pair shares one of the bands with probability 0.9995.
+BANDS, ROWS = 25, 6
+
+PROFILES = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SETS = pa.schema([("id", pa.int64()), ("hs", pa.list_(pa.int32()))])
+
+
+def _band_keys(u: np.ndarray) -> list[int]:
+    """Keys of the bands of a set of 32-bit hashes."""
+    rng = np.random.default_rng(SEED)
+    mul = rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(u), 2048):  # bounded memory for very long texts
+        np.minimum(low, (u[None, at : at + 2048] * mul + add).min(axis=1), out=low)
+    keys = [xxhash.xxh64_intdigest(low[ROWS * i : ROWS * (i + 1)].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
 
+def _folded(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
-def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id. Columns stay as they are."""
-    g = near_groups(docs.select("doc_id", "text"), shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(g, F.col("doc_id") == F.col("__stay"), "left_semi")
+
+def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """Fingerprint, digest and size of the shingle set, and band keys of every row."""
+
+    def run(batches):
+        for b in pieces(batches):
+            rows = [[], [], [], []]
+            for t in b["text"].to_pylist():
+                h = shingle_hashes(t, shingle)
+                u = _folded(h)
+                both = np.array([majority(h), xxhash.xxh64_intdigest(np.unique(h).tobytes())], np.uint64).view(np.int64).tolist()
+                for out, x in zip(rows, (*both, len(u), _band_keys(u) if len(u) else []), strict=True):
+                    out.append(x)
+            yield batch(PROFILES, [b["doc_id"], *rows])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, cls long, n long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those rows of ``pairs`` (ids ``a, b``) whose shingle sets are similar enough, by the exact Jaccard similarity of 32-bit hashes."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("__id"), "left_semi")
+
+    def run(batches):
+        for b in pieces(batches):
+            yield batch(SETS, [b["doc_id"], [_folded(shingle_hashes(t, shingle)).view(np.int32) for t in b["text"].to_pylist()]])
+
+    sets = materialise(texts.mapInArrow(run, "id long, hs array<int>"), "sets")
+    j = pairs.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("x")), "a")
+    j = spread(j).join(spread(sets.select(F.col("id").alias("b"), F.col("hs").alias("y"))), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return j.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).drop("x", "y").distinct()
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id`` of every row with an id: components over near copies of whole texts.
+
+    Two documents link if their fingerprints differ in two bits or fewer, or if their sets of word shingles have at least
+    ``similarity``. At 64 bits a similarity of 0.8 is a distance of about ten, where the chains prune almost nothing;
+    candidates for the second kind of link therefore share a band of minima and are then checked exactly. Texts of one
+    shingle set are one class. In each bucket, classes are first held against the one of smallest id, and then, where
+    components still differ, against all classes of other components; so no link between components is left out, and
+    copies of one text do not meet in pairs. Null and empty texts are copies of each other. Rows that share an id count
+    as one document that has all their texts. An empty table gives no rows.
+    """
+    d = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    signs = materialise(_profiles(d, shingle), "profiles")
+    alike = signs.join(spread(_fingerprint_components(signs.select("doc_id", "fp"))), F.col("fp") == F.col("f"))
+    alike = alike.groupBy("cls", "component_id").agg(F.min("doc_id").alias("low"))
+    reps = materialise(signs.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.any_value("bands").alias("bands")), "reps")
+    edges = alike.join(spread(reps.select("cls", "rep")), "cls").select(F.col("rep").alias("a"), F.col("component_id").alias("b"))
+
+    each = reps.select("rep", "n", F.explode("bands").alias("key"))
+    first = each.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("rep", "n")).alias("first")).filter("k > 1").drop("k")
+    shared = materialise(each.join(spread(first), "key"), "buckets")
+    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+    star = shared.filter((F.col("rep") != F.col("first.rep")) & fits(F.col("n"), F.col("first.n")))
+    star = materialise(star.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    found = connected_components(edges.unionByName(_verified(star, d, shingle, similarity)))
+
+    known = materialise(reps.join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("c")), "known")
+    m = shared.join(spread(known.select(F.col("rep").alias("__rep"), "c").distinct()), F.col("rep") == F.col("__rep")).select("key", "rep", "n", "c", F.col("first.rep").alias("first"))
+    mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "rep").alias("of")).filter("lo < hi").select("key", "of")
+    m = materialise(m.join(spread(mixed), "key"), "mixed")
+    other = spread(m.filter("rep <> first").select("key", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2")))
+    cross = m.filter("c <> of AND rep <> first").select("key", "rep", "n", "c").join(other, "key").filter((F.col("c") != F.col("c2")) & fits(F.col("n"), F.col("n2")))
+    ends = F.when(F.col("rep") < F.col("r2"), F.struct(F.col("rep").alias("a"), F.col("r2").alias("b"), F.col("c").alias("ca"), F.col("c2").alias("cb")))
+    ends = ends.otherwise(F.struct(F.col("r2").alias("a"), F.col("rep").alias("b"), F.col("c2").alias("ca"), F.col("c").alias("cb")))
+    cross = materialise(cross.select(ends.alias("e")).select("e.*").distinct(), "cross")
+    more = connected_components(_verified(cross, d, shingle, similarity), "ca", "cb")
+    known = known.join(more, F.col("c") == F.col("node"), "left").select("cls", F.coalesce("component", "c").alias("component_id"))
+    return signs.select("doc_id", "cls").join(spread(known), "cls").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of ``near_copies`` the document with the smallest id, and rows without id. Columns stay as they are."""
+    gone = near_copies(docs, shingle, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

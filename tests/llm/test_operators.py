@@ -98,6 +98,42 @@ def test_simhash(spark, docs, rows):
     assert all(r["component_id"] == label[r["doc_id"]] for r in got if r["doc_id"] is not None)
 
 
+def test_near_copies(spark, docs, rows):
+    rnd = random.Random(5)
+    more = []
+    for g in range(30):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(12, 300))]
+        for k in range(rnd.randint(1, 9)):
+            if k:  # a chain: the next differs from the last one
+                w = list(w)
+                for _ in range(max(1, len(w) // rnd.choice([40, 60, 100]))):
+                    w[rnd.randrange(len(w))] = f"x{rnd.randrange(5000)}"
+            more.append((1000 + len(more), " ".join(w), "aa", "s1"))
+    every = [*rows, *more]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [(d, shingles(t)) for d, t, *_ in every if d is not None]
+    fp = [simhash.fingerprint(t, 5) for d, t, *_ in every if d is not None]
+    near = [(a, b) for i, (a, x) in enumerate(sets) for j, (b, y) in enumerate(sets[:i]) if (fp[i] ^ fp[j]).bit_count() <= 2 or len(x & y) >= 0.8 * len(x | y)]
+    label = {d: d for d, _ in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    got = simhash.near_copies(table(spark, every)).collect()
+    assert sorted((r[0], r[1]) for r in got) == sorted((d, label[d]) for d, _ in sets)
+    stay = sorted(str(d) for d, *_ in every if d is None or label[d] == d)
+    assert sorted(str(r["doc_id"]) for r in simhash.near_dedup(table(spark, every)).collect()) == stay
+    assert simhash.near_dedup(table(spark, [])).count() == 0
+
+
 def test_simhash_large_bucket():
     rng = np.random.default_rng(1)
     fps = np.unique(np.array([int(x) << 8 for x in rng.integers(0, 1 << 16, 300)] + [int(x) for x in rng.integers(0, 256, 60)], np.uint64) | np.uint64(0xABCDEF0000 << 24))
