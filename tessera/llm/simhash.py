@@ -186,25 +186,27 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     links with nothing and its component is null. Very long texts are hashed in blocks; an empty table gives no rows.
     """
     signs = materialise(fingerprints(docs, shingle), "fingerprints")
-    out = signs.join(spread(_fingerprint_components(signs)), F.col("fp") == F.col("f"))
+    classes, links = _fingerprint_links(signs)
+    found = connected_components(links)
+    classes = materialise(classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id")), "components")
+    out = signs.join(spread(classes), F.col("fp") == F.col("f"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
-def _fingerprint_components(signs: DataFrame) -> DataFrame:
-    """``f, component_id`` per fingerprint of ``signs`` (``doc_id, fp``)."""
+def _fingerprint_links(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (``fp, rep``) of equal fingerprints of ``signs`` (``doc_id, fp``), and links ``a, b`` between their representatives."""
     classes = materialise(signs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = classes.filter("rep IS NOT NULL").select("fp", "rep", F.explode(_keys(F.col("fp"))).alias("key"))
     n = int(signs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
-    found = connected_components(links)
-    found = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
-    return materialise(found, "components")
+    return classes, keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
 
 
 #: Documents of a stage are near copies from this Jaccard similarity of their shingle sets on.
 SIMILARITY = 0.8
 #: Minima of so many permutations make a band's key. At SIMILARITY exactly, a pair shares one of the bands with probability 0.9995.
 BANDS, ROWS = 25, 6
+_MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+_MULTIPLY |= np.uint32(1)
 
 PROFILES = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("hs", pa.list_(pa.int32()))])
@@ -212,12 +214,9 @@ SETS = pa.schema([("id", pa.int64()), ("hs", pa.list_(pa.int32()))])
 
 def _band_keys(u: np.ndarray) -> list[int]:
     """Keys of the bands of a set of 32-bit hashes."""
-    rng = np.random.default_rng(SEED)
-    mul = rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
-    add = rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
     low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(u), 2048):  # bounded memory for very long texts
-        np.minimum(low, (u[None, at : at + 2048] * mul + add).min(axis=1), out=low)
+        np.minimum(low, (u[None, at : at + 2048] * _MULTIPLY + _ADD).min(axis=1), out=low)
     keys = [xxhash.xxh64_intdigest(low[ROWS * i : ROWS * (i + 1)].tobytes(), i) for i in range(BANDS)]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
@@ -272,10 +271,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     """
     d = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     signs = materialise(_profiles(d, shingle), "profiles")
-    alike = signs.join(spread(_fingerprint_components(signs.select("doc_id", "fp"))), F.col("fp") == F.col("f"))
-    alike = alike.groupBy("cls", "component_id").agg(F.min("doc_id").alias("low"))
+    fingerprints, links = _fingerprint_links(signs.select("doc_id", "fp"))
     reps = materialise(signs.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.any_value("bands").alias("bands")), "reps")
-    edges = alike.join(spread(reps.select("cls", "rep")), "cls").select(F.col("rep").alias("a"), F.col("component_id").alias("b"))
+    alike = signs.select("cls", "fp").distinct().join(fingerprints.withColumnRenamed("rep", "b"), "fp").select("cls", "b")
+    alike = alike.join(reps.select("cls", F.col("rep").alias("a")), "cls").filter("a <> b").select("a", "b")
 
     each = reps.select("rep", "n", F.explode("bands").alias("key"))
     first = each.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("rep", "n")).alias("first")).filter("k > 1").drop("k")
@@ -283,7 +282,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
     star = shared.filter((F.col("rep") != F.col("first.rep")) & fits(F.col("n"), F.col("first.n")))
     star = materialise(star.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    found = connected_components(edges.unionByName(_verified(star, d, shingle, similarity)))
+    found = connected_components(links.unionByName(alike).unionByName(_verified(star, d, shingle, similarity)))
 
     known = materialise(reps.join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("c")), "known")
     m = shared.join(spread(known.select(F.col("rep").alias("__rep"), "c").distinct()), F.col("rep") == F.col("__rep")).select("key", "rep", "n", "c", F.col("first.rep").alias("first"))
@@ -294,8 +293,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     ends = F.when(F.col("rep") < F.col("r2"), F.struct(F.col("rep").alias("a"), F.col("r2").alias("b"), F.col("c").alias("ca"), F.col("c2").alias("cb")))
     ends = ends.otherwise(F.struct(F.col("r2").alias("a"), F.col("rep").alias("b"), F.col("c2").alias("ca"), F.col("c").alias("cb")))
     cross = materialise(cross.select(ends.alias("e")).select("e.*").distinct(), "cross")
-    more = connected_components(_verified(cross, d, shingle, similarity), "ca", "cb")
-    known = known.join(more, F.col("c") == F.col("node"), "left").select("cls", F.coalesce("component", "c").alias("component_id"))
+    known = known.withColumn("component_id", F.col("c"))
+    late = None if cross.isEmpty() else materialise(_verified(cross, d, shingle, similarity).select("ca", "cb").distinct(), "late")
+    if late is not None and not late.isEmpty():
+        more = connected_components(late, "ca", "cb")
+        known = known.join(more, F.col("c") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "c"))
+    known = known.select("cls", "component_id")
     return signs.select("doc_id", "cls").join(spread(known), "cls").select("doc_id", "component_id")
 
 
