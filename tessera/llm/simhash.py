@@ -242,32 +242,62 @@ def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, cls long, n long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those rows of ``pairs`` (ids ``a, b``) whose shingle sets are similar enough, by the exact Jaccard similarity of 32-bit hashes."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("__id"), "left_semi")
+def _shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``row, id, hs``: the sorted set of 32-bit shingle hashes of every row of ``docs`` whose id is in ``ids`` (one column, distinct)."""
+    texts = docs.select("doc_id", "text").join(ids.toDF("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
 
     def run(batches):
         for b in pieces(batches):
             yield batch(SETS, [b["doc_id"], [_folded(shingle_hashes(t, shingle)).view(np.int32) for t in b["text"].to_pylist()]])
 
-    sets = materialise(texts.mapInArrow(run, "id long, hs array<int>"), "sets")
+    return materialise(texts.mapInArrow(run, "id long, hs array<int>").select(F.monotonically_increasing_id().alias("row"), "id", "hs"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those rows of ``pairs`` (ids ``a, b``) whose shingle sets are similar enough, by the exact Jaccard similarity of 32-bit hashes."""
     j = pairs.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("x")), "a")
     j = spread(j).join(spread(sets.select(F.col("id").alias("b"), F.col("hs").alias("y"))), "b")
     common = F.size(F.array_intersect("x", "y"))
     return j.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).drop("x", "y").distinct()
 
 
+#: Lengths that come from a similarity are rounded so that an error of the last bit only lets more candidates through.
+_SLACK = 1e-9
+
+
+def _sharing_prefix(sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, ca, cb``: pairs of ids of ``sets`` (``row, id, c, hs``) in different components ``c`` that may be similar enough.
+
+    Prefix filtering, which loses no pair: with all sets in one order, rarest shingles first, two sets of the similarity
+    share one of the first ``n - ceil(similarity * n) + 1`` shingles of each, and behind the first one that they share
+    both have enough left. Shingles of one set alone fill its prefix without naming a candidate, so a text of a large
+    group that differs from all others by many shingles of its own meets few of them.
+    """
+    each = sets.select("row", "id", "c", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    held = each.join(spread(counts), "h").groupBy("row", "id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("t"))
+    alone = F.col("n") - F.size("t")
+    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - _SLACK).cast("int") + 1 - alone
+    prefix = held.filter(length > 0).select("id", "c", "n", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), length)).alias("at", "s"))
+    prefix = materialise(prefix.select("id", "c", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("s.h").alias("h")), "prefixes")
+    x = prefix.select("h", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"))
+    y = prefix.select("h", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    enough = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - _SLACK
+    j = x.join(y, (x["h"] == y["h"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("la", "lb") >= enough))
+    return j.select("a", "b", "ca", "cb").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of every row with an id: components over near copies of whole texts.
 
     Two documents link if their fingerprints differ in two bits or fewer, or if their sets of word shingles have at least
     ``similarity``. At 64 bits a similarity of 0.8 is a distance of about ten, where the chains prune almost nothing;
     candidates for the second kind of link therefore share a band of minima and are then checked exactly. Texts of one
-    shingle set are one class. In each bucket, classes are first held against the one of smallest id, and then, where
-    components still differ, against all classes of other components; so no link between components is left out, and
-    copies of one text do not meet in pairs. Null and empty texts are copies of each other. Rows that share an id count
-    as one document that has all their texts. An empty table gives no rows.
+    shingle set are one class. In each bucket, classes are first held against the one of smallest id. Classes of buckets
+    in which components still differ are then held against those of other components by prefix filtering; so no link
+    between components is left out, and neither copies of one text nor all members of a bucket meet in pairs. Null and
+    empty texts are copies of each other. Rows that share an id count as one document that has all their texts. An empty
+    table gives no rows.
     """
     d = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     signs = materialise(_profiles(d, shingle), "profiles")
@@ -279,25 +309,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     each = reps.select("rep", "n", F.explode("bands").alias("key"))
     first = each.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("rep", "n")).alias("first")).filter("k > 1").drop("k")
     shared = materialise(each.join(spread(first), "key"), "buckets")
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    star = shared.filter((F.col("rep") != F.col("first.rep")) & fits(F.col("n"), F.col("first.n")))
+    sets = _shingle_sets(d, shared.select("rep").distinct(), shingle)
+    star = shared.filter((F.col("rep") != F.col("first.rep")) & (F.least("n", "first.n") >= F.lit(similarity) * F.greatest("n", "first.n")))
     star = materialise(star.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    found = connected_components(links.unionByName(alike).unionByName(_verified(star, d, shingle, similarity)))
-
-    known = materialise(reps.join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("c")), "known")
-    m = shared.join(spread(known.select(F.col("rep").alias("__rep"), "c").distinct()), F.col("rep") == F.col("__rep")).select("key", "rep", "n", "c", F.col("first.rep").alias("first"))
-    mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "rep").alias("of")).filter("lo < hi").select("key", "of")
-    m = materialise(m.join(spread(mixed), "key"), "mixed")
-    other = spread(m.filter("rep <> first").select("key", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2")))
-    cross = m.filter("c <> of AND rep <> first").select("key", "rep", "n", "c").join(other, "key").filter((F.col("c") != F.col("c2")) & fits(F.col("n"), F.col("n2")))
-    ends = F.when(F.col("rep") < F.col("r2"), F.struct(F.col("rep").alias("a"), F.col("r2").alias("b"), F.col("c").alias("ca"), F.col("c2").alias("cb")))
-    ends = ends.otherwise(F.struct(F.col("r2").alias("a"), F.col("rep").alias("b"), F.col("c2").alias("ca"), F.col("c").alias("cb")))
-    cross = materialise(cross.select(ends.alias("e")).select("e.*").distinct(), "cross")
-    known = known.withColumn("component_id", F.col("c"))
-    late = None if cross.isEmpty() else materialise(_verified(cross, d, shingle, similarity).select("ca", "cb").distinct(), "late")
-    if late is not None and not late.isEmpty():
+    found = connected_components(links.unionByName(alike).unionByName(_verified(star, sets, similarity)))
+
+    known = materialise(reps.join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("component_id")), "known")
+    m = shared.select("key", "rep").join(spread(known.select(F.col("rep").alias("id"), F.col("component_id").alias("c")).distinct()), F.col("rep") == F.col("id"))
+    mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    open_ = materialise(m.join(spread(mixed), "key").select("id", "c").distinct(), "open")
+    cross = materialise(_sharing_prefix(sets.join(open_, "id"), similarity), "cross")
+    late = materialise(_verified(cross, sets, similarity).select("ca", "cb").distinct(), "late")
+    if not late.isEmpty():
         more = connected_components(late, "ca", "cb")
-        known = known.join(more, F.col("c") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "c"))
+        known = known.join(more, F.col("component_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "component_id"))
     known = known.select("cls", "component_id")
     return signs.select("doc_id", "cls").join(spread(known), "cls").select("doc_id", "component_id")
 
