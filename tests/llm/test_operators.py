@@ -134,6 +134,26 @@ def test_near_copies(spark, docs, rows):
     assert simhash.near_dedup(table(spark, [])).count() == 0
 
 
+def test_prefix_filter(spark):
+    """A group of copies of one text, most too far from each other to link: no link is lost, and few pairs are named."""
+    rnd = random.Random(8)
+    base = [rnd.randrange(1 << 31) for _ in range(100)]
+    sets = []
+    for _ in range(150):
+        own = list(base)
+        for i in rnd.sample(range(100), rnd.choice([3, 9, 10, 20, 25])):
+            own[i] = rnd.randrange(40) if rnd.random() < 0.3 else rnd.randrange(1 << 31)
+        sets.append(sorted(set(own)))
+    sets += [[1, 2, 3, 4, 5], [2, 3, 4, 5], [7], [7], [8, 9]]
+    df = spark.createDataFrame([(i, i, i // 2, s) for i, s in enumerate(sets)], "row long, id long, c long, hs array<int>")
+    found = {tuple(r) for r in simhash._sharing_prefix(df, 0.8).collect()}
+    linked = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if a // 2 != b // 2 and 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})}
+    assert linked <= {p[:2] for p in found} and all(a < b and ca == a // 2 != b // 2 == cb for a, b, ca, cb in found)
+    assert len(linked) > 100 and len(found) < len(sets) ** 2 / 4
+    kept = simhash._verified(simhash._sharing_prefix(df, 0.8), df, 0.8)
+    assert {(r["a"], r["b"]) for r in kept.collect()} == linked
+
+
 def test_simhash_large_bucket():
     rng = np.random.default_rng(1)
     fps = np.unique(np.array([int(x) << 8 for x in rng.integers(0, 1 << 16, 300)] + [int(x) for x in rng.integers(0, 256, 60)], np.uint64) | np.uint64(0xABCDEF0000 << 24))
