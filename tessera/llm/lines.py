@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, materialise, pieces, spread, table
 
-#: A line is rare if so few documents have it. A document without rare shared lines goes by the rarest that it has.
+#: Lines that so few documents have are rare. Partners no longer depend on it.
 RARE = 40
 #: An aligned block is deleted if its lines have so many characters together.
 MIN_CHARS = 40
@@ -87,13 +87,13 @@ def common_lines(later: list, earlier: list, chars: list, min_chars: int = MIN_C
 REMOVED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("removed", pa.list_(pa.int32()))])
 
 
-def duplicate_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, th, removed`` for documents of which lines go: ``removed`` lists line numbers, ``th`` is the text's hash.
 
     Lines (parted by newline, compared without outer white space by 64-bit hash) shared with documents of smaller id
-    are a document's shared lines. Those that ``rare`` documents or fewer have, or else the least frequent, name its
-    partners: for each such line the document with the smallest id that has it. So a group of n copies makes n - 1
-    pairs, and only arrays of line hashes travel with them. Blank lines name no partner.
+    are a document's shared lines. Each names a partner, however many documents have it: the document with the smallest
+    id that has it. So a group of n copies makes n - 1 pairs, and only arrays of line hashes travel with them. Blank
+    lines name no partner.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     clean = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
@@ -101,12 +101,9 @@ def duplicate_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHAR
     d = d.select("doc_id", "th", F.transform("c", lambda x: F.when(x == "", F.lit(0)).otherwise(F.xxhash64(x))).alias("hashes"), F.transform("c", lambda x: F.length(x)).alias("chars"))
     seqs = materialise(d, "lines")
     each = seqs.select("doc_id", F.explode(F.array_distinct("hashes")).alias("h")).filter("h <> 0")
-    stats = each.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1")
+    stats = each.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1").drop("df")
     shared = each.join(spread(stats), "h").filter("doc_id > first")
-    partners = shared.groupBy("doc_id", "first").agg(F.min("df").alias("df"))
-    partners = partners.groupBy("doc_id").agg(F.collect_list(F.struct("first", "df")).alias("p"), F.greatest(F.min("df"), F.lit(rare)).alias("most"))
-    pairs = partners.select("doc_id", F.explode(F.filter("p", lambda x: x["df"] <= F.col("most"))["first"]).alias("first"))
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(shared.select("doc_id", "first").distinct(), "pairs")
     other = seqs.groupBy("doc_id").agg(F.max(F.struct("th", "hashes"))["hashes"].alias("earlier")).select(F.col("doc_id").alias("first"), "earlier")
     needed = pairs.select("first").distinct()
     other = other.join(spread(needed), "first", "left_semi")
@@ -136,14 +133,14 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(text, removed, strict=True)], dtype=object)
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, removed: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, removed: str | None = None) -> DataFrame:
     """``docs`` with the duplicate lines cut from ``text``; other columns stay as they are.
 
     With ``removed`` a column of that name lists the line numbers that went (null: none). Null texts stay null, rows
     without id are left alone, rows that share an id are neither earlier nor later than each other. A text all of whose
     lines go becomes empty. An empty table gives an empty table.
     """
-    gone = materialise(duplicate_lines(docs.select("doc_id", "text"), rare, min_chars), "removed")
+    gone = materialise(duplicate_lines(docs.select("doc_id", "text"), min_chars), "removed")
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("removed").alias("__removed"))
     j = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     j = j.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.pandas_udf(_without, "string")("text", "__removed")))

@@ -204,6 +204,20 @@ def test_lines(spark, docs, rows):
     assert lines.patience(list("abcxdef"), list("abydef")) == [(0, 0), (1, 1), (4, 3), (5, 4), (6, 5)]
 
 
+def removed_lines(spark, texts):
+    out = lines.line_dedup(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), removed="gone").collect()
+    return {r["doc_id"]: set(r["gone"] or []) for r in out}
+
+
+def test_lines_frequent_passage(spark):
+    passage = "\n".join(f"the passage that all of these documents share, line {i}" for i in range(3))
+    texts = {i: f"{passage}\nan own line of document {i}, which no other document has" for i in range(lines.RARE + 10)}
+    texts |= {1000: "one rare line that only the last two of these documents have", 1001: f"{passage}\none rare line that only the last two of these documents have"}
+    got = removed_lines(spark, texts)
+    assert got[0] == got[1000] == set() and got[1001] == {0, 1, 2, 3}
+    assert all(got[i] == {0, 1, 2} for i in range(1, lines.RARE + 10))
+
+
 def brute_spans(rows, length):
     seen = defaultdict(int)
     for _, b in rows:
