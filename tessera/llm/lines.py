@@ -15,6 +15,8 @@ from tessera.llm.common import batch, materialise, pieces, spread, table
 RARE = 40
 #: An aligned block is deleted if its lines have so many characters together.
 MIN_CHARS = 40
+#: A further round aligns with so many times the holders of the round before.
+MORE = 16
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,43 +86,124 @@ def common_lines(later: list, earlier: list, chars: list, min_chars: int = MIN_C
     return out
 
 
-REMOVED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("removed", pa.list_(pa.int32()))])
+def runs(hashes: list, chars: list, min_chars: int = MIN_CHARS) -> list[tuple[int, int, int, int]]:
+    """``(key, start, end, k)`` of the shortest runs of ``min_chars`` characters from each line on and up to each line.
+
+    ``k`` counts the runs with the same lines. Each aligned block of so many characters is covered by the runs in it,
+    and all of them are in both documents.
+    """
+    n = len(hashes)
+    spans: dict[tuple[int, int], None] = {}
+    j = total = 0
+    for i in range(n):
+        while j < n and total < min_chars:
+            total += chars[j]
+            j += 1
+        if total < min_chars:
+            break
+        spans[i, j] = None
+        total -= chars[i]
+    i, total = n, 0
+    for j in range(n, 0, -1):
+        while i > 0 and total < min_chars:
+            i -= 1
+            total += chars[i]
+        if total < min_chars:
+            break
+        spans[i, j] = None
+        total -= chars[j - 1]
+    prefix, power = [0], [1]
+    for h in hashes if spans else ():
+        prefix.append((prefix[-1] * BASE + h) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+    count: dict[int, int] = {}
+    out = []
+    for i, j in spans:
+        key = (prefix[j] - prefix[i] * power[j - i]) % PRIME
+        k = count[key] = count.get(key, -1) + 1
+        out.append((key, i, j, k))
+    return out
+
+
+# Hash of a run, as a polynomial of its line hashes.
+PRIME, BASE = (1 << 61) - 1, 1_173_928_571_046_893_713
+RUNS = pa.schema([("sid", pa.int64()), ("id", pa.int64()), ("w", pa.int64()), ("a", pa.int32()), ("z", pa.int32()), ("k", pa.int32())])
+REMOVED = pa.schema([("sid", pa.int64()), ("removed", pa.list_(pa.int32()))])
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, min_chars: int) -> DataFrame:
+    """``sid, removed`` of each pair ``sid, other`` by which lines of ``sid`` go."""
+
+    def align(batches):
+        for b in pieces(batches, rows=2048):
+            got = [[], []]
+            for sid, mine, chars, earlier in zip(*(b[c].to_pylist() for c in ("sid", "hashes", "chars", "earlier")), strict=True):
+                if gone := common_lines(mine, earlier, chars, min_chars):
+                    for out, x in zip(got, (sid, gone), strict=True):
+                        out.append(x)
+            yield batch(REMOVED, got)
+
+    needed = pairs.select("other").distinct()
+    other = texts.select(F.col("sid").alias("other"), F.col("hashes").alias("earlier")).join(spread(needed), "other", "left_semi")
+    full = texts.join(pairs.join(spread(other), "other").drop("other"), "sid")
+    return materialise(full.select("sid", "hashes", "chars", "earlier").mapInArrow(align, "sid long, removed array<int>"), "aligned")
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, th, removed`` for documents of which lines go: ``removed`` lists line numbers, ``th`` is the text's hash.
 
-    Lines (parted by newline, compared without outer white space by 64-bit hash) shared with documents of smaller id
-    are a document's shared lines. Each names a partner, however many documents have it: the document with the smallest
-    id that has it. So a group of n copies makes n - 1 pairs, and only arrays of line hashes travel with them. Blank
-    lines name no partner.
+    Lines (parted by newline, compared without outer white space by 64-bit hash) go if they are in an aligned block with
+    any document of smaller id. Of documents with the same lines only that of smallest id is aligned, since the others
+    lose all lines to it. Documents that share a block of ``min_chars`` characters share a run (see ``runs``). The first
+    round aligns with the first holder of each shared run; a run that still has lines left is open, and further rounds
+    align with more and more of its holders of smaller id, until no run is open or all of them have been tried. So the
+    result is that of all pairs, while a run that all its holders align takes few. Only arrays of line hashes travel.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     clean = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     d = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), clean.alias("c"))
     d = d.select("doc_id", "th", F.transform("c", lambda x: F.when(x == "", F.lit(0)).otherwise(F.xxhash64(x))).alias("hashes"), F.transform("c", lambda x: F.length(x)).alias("chars"))
-    seqs = materialise(d, "lines")
-    each = seqs.select("doc_id", F.explode(F.array_distinct("hashes")).alias("h")).filter("h <> 0")
-    stats = each.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1").drop("df")
-    shared = each.join(spread(stats), "h").filter("doc_id > first")
-    pairs = materialise(shared.select("doc_id", "first").distinct(), "pairs")
-    other = seqs.groupBy("doc_id").agg(F.max(F.struct("th", "hashes"))["hashes"].alias("earlier")).select(F.col("doc_id").alias("first"), "earlier")
-    needed = pairs.select("first").distinct()
-    other = other.join(spread(needed), "first", "left_semi")
-    with_other = pairs.join(spread(other), "first")
-    full = seqs.join(with_other.drop("first"), "doc_id")
+    seqs = materialise(d.withColumn("sid", F.xxhash64("hashes")), "lines")
+    texts = materialise(seqs.groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("hashes").alias("hashes"), F.first("chars").alias("chars")), "texts")
 
-    def align(batches):
+    def cut(batches):
         for b in pieces(batches, rows=2048):
-            got = [[], [], []]
-            for doc, th, mine, chars, earlier in zip(*(b[c].to_pylist() for c in ("doc_id", "th", "hashes", "chars", "earlier")), strict=True):
-                if gone := common_lines(mine, earlier, chars, min_chars):
-                    for out, x in zip(got, (doc, th, gone), strict=True):
+            got = [[] for _ in RUNS]
+            for sid, doc, mine, chars in zip(*(b[c].to_pylist() for c in ("sid", "id", "hashes", "chars")), strict=True):
+                for run in runs(mine, chars, min_chars):
+                    for out, x in zip(got, (sid, doc, *run), strict=True):
                         out.append(x)
-            yield batch(REMOVED, got)
-
-    found = full.select("doc_id", "th", "hashes", "chars", "earlier").mapInArrow(align, "doc_id long, th long, removed array<int>")
-    return found.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+            yield batch(RUNS, got)
+
+    held = materialise(texts.mapInArrow(cut, "sid long, id long, w long, a int, z int, k int"), "runs")
+    holders = held.filter("k = 0").select("w", F.col("sid").alias("other"), F.col("id").alias("other_id"))
+    stats = holders.groupBy("w").agg(F.count("*").alias("df"), F.min(F.struct("other_id", "other")).alias("first")).filter("df > 1")
+    shared = held.join(spread(stats), "w").filter("id > first.other_id")
+    left = materialise(shared.select("sid", "id", "w", "a", "z", "df", F.col("first.other").alias("other")), "shared")
+    pairs = materialise(left.select("sid", "other").distinct(), "pairs")
+    removed, tried = _aligned(pairs, texts, min_chars), 1
+    while True:
+        gone = removed.select("sid", F.explode("removed").alias("line")).groupBy("sid").agg(F.collect_set("line").alias("gone"))
+        kept = F.size(F.array_except(F.sequence("a", F.col("z") - 1), "gone")) > 0
+        left = left.select("sid", "id", "w", "a", "z", "df").join(spread(gone), "sid", "left").filter(F.col("gone").isNull() | kept).drop("gone")
+        left = materialise(left, "open")
+        most = left.agg(F.max("df")).first()[0]
+        if most is None or most <= tried:
+            break
+        # of each open run the holders whose hash falls into the next share
+        part = F.pmod(F.xxhash64("other"), F.lit(1 << 20)) * F.col("df")
+        last, tried = tried if tried > 1 else 0, tried * MORE
+        some = holders.join(spread(left.select("w", "df").distinct()), "w").filter((part >= last << 20) & (part < tried << 20))
+        some = materialise(some.drop("df"), "some")
+        pairs = left.select("sid", "id", "w").join(spread(some), "w").filter("other_id < id")
+        pairs = materialise(pairs.select("sid", "other").distinct(), "pairs")
+        removed = removed.unionByName(_aligned(pairs, texts, min_chars))
+    rows = seqs.select("doc_id", "th", "sid", F.size("hashes").alias("n"), F.aggregate("chars", F.lit(0), lambda s, x: s + x).alias("total"))
+    rows = rows.join(spread(texts.select("sid", "id")), "sid").filter("total >= " + str(int(min_chars)))
+    copies = rows.filter("doc_id > id").select("doc_id", "th", F.sequence(F.lit(0), F.col("n") - 1).alias("removed"))
+    gone = gone.select("sid", F.array_sort("gone").alias("removed"))
+    firsts = rows.filter("doc_id = id").join(spread(gone), "sid").select("doc_id", "th", "removed")
+    return copies.unionByName(firsts).groupBy("doc_id", "th").agg(F.first("removed").alias("removed"))
 
 
 def _without(text: pd.Series, removed: pd.Series) -> pd.Series:

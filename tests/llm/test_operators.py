@@ -218,6 +218,18 @@ def test_lines_frequent_passage(spark):
     assert all(got[i] == {0, 1, 2} for i in range(1, lines.RARE + 10))
 
 
+def test_lines_all_pairs(spark):
+    assert removed_lines(spark, {1: "a block of two lines that\nx", 2: "y\nneither of which is long", 3: "a block of two lines that\nneither of which is long", 4: "a block of two lines that\nneither of which is long\nz"}) == {1: set(), 2: set(), 3: set(), 4: {0, 1}}
+    rnd = random.Random(5)
+    pool = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(rnd.randint(1, 8))) for _ in range(25)] + ["", "", "-"]
+    texts = {i: "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12))) for i in range(150)}
+    passages = ["\n".join(rnd.sample(pool, 3)) for _ in range(3)]
+    texts |= {i: "\n".join([*rnd.sample(passages, 2), f"own {i}", rnd.choice(pool)]) for i in range(150, 260)}
+    seqs = {d: t.split("\n") for d, t in texts.items()}
+    want = {d: {i for e in seqs if e < d for i in lines.common_lines(s, seqs[e], [len(x) for x in s])} for d, s in seqs.items()}
+    assert removed_lines(spark, texts) == want
+
+
 def brute_spans(rows, length):
     seen = defaultdict(int)
     for _, b in rows:
