@@ -37,7 +37,7 @@ def times(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Per user: points, errors after decoding, and compressed size."""
     p = events(spark, sf)
-    f = compress.compress(p, BPC, step=2)
+    f = compress.compress(p, BPC)
     return metrics.errors(p, access.decompress(f)).select("series_id", "n", "mismatches", "max_error").join(metrics.sizes(f).select("series_id", "fragments", "total_bits", "ratio"), "series_id")
 
 
@@ -89,17 +89,17 @@ def _(s, d):
 
 @query("lossless_roundtrip", _CENTS)
 def _(s, d):
-    return access.decompress(compress.compress(events(s, d), BPC, step=2))
+    return access.decompress(compress.compress(events(s, d), BPC))
 
 
 @query("linear_roundtrip", _PRICES)
 def _(s, d):
-    return access.decompress(compress.compress_linear(prices(s, d), BPC, step=3))
+    return access.decompress(compress.compress_linear(prices(s, d), BPC))
 
 
 @query("trained_roundtrip", _CENTS)
 def _(s, d):
-    return access.decompress(compress.compress_trained(events(s, d), BPC, training=32))
+    return access.decompress(compress.compress_trained(events(s, d), BPC))
 
 
 @query("point_access", f"SELECT series_id, pos, y FROM ({_CENTS}) WHERE pos % 7 = 3")
@@ -260,7 +260,7 @@ def _(s, d):
 
 @query("size_breakdown")
 def _(s, d):
-    return metrics.sizes(compress.compress(events(s, d), BPC, step=2))
+    return metrics.sizes(compress.compress(events(s, d), BPC))
 
 
 @query("best_models")
@@ -268,7 +268,7 @@ def _(s, d):
     from tessera.plans.partition import grid, partition
     from tessera.sources.series import normalise_large
 
-    models = grid(BPC, step=2)
+    models = grid(BPC)
     return compress.best_models(compress.fragments_of(normalise_large(events(s, d), eps(BPC)), lambda y: partition(y, models)))
 
 

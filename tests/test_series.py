@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.functions import codecs
 from tessera.functions.fit import greedy, segment, stab
 from tessera.functions.models import bits_of, eps
@@ -153,3 +154,14 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = blocks.decode_blocks(spark.table("out"), 100, "double").orderBy("pos").toPandas()
     assert got["y"].tolist() == p["y"][: len(got)].tolist() and len(got) >= 200
+
+
+def test_queries_search_all_widths(spark, tmp_path):
+    rnd = np.random.default_rng(4)
+    rows = [(i, f"2024-01-01 00:{i // 60:02}:{i % 60:02}", 1, float(v) / 100) for i, v in enumerate(rnd.integers(5000, 5008, 700))]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "user_id", "value").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r["bpc"] for r in queries.QUERIES["best_models"](spark, str(tmp_path)).collect()} == {3}
+    p = queries.events(spark, str(tmp_path))
+    want = [r["total_bits"] for r in metrics.sizes(compress.compress(p, queries.BPC)).collect()]
+    for name in ("size_breakdown", "flagship"):
+        assert [r["total_bits"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()] == want
