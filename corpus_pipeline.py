@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, language, lines, mixing, simhash
 from tessera.llm.common import materialise
 
-#: Bytes that the best language must save against the next, as a share; under that, and without any letter, a text is rejected.
-MIN_MARGIN = 0.002
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told go on unchanged; those that the classifier rejects go."""
-    fitted = language.fit(docs.select("doc_id", "text", "lang").filter(~language.held_out()))
-    found = language.predict(docs.select("doc_id", "text"), fitted, MIN_MARGIN, keep=docs)
+    fitted, min_margin = language.learn(docs)
+    found = language.predict(docs.select("doc_id", "text"), fitted, min_margin, keep=docs)
     return found.filter("NOT rejected").select(*docs.columns)
 
 

@@ -21,6 +21,8 @@ DICT_BYTES = 64 * 1024
 PIECE = 4096
 SHORT = 256
 LEVEL, SHORT_LEVEL = 5, 19
+#: A margin is narrow if it is below those of all but this share of the labelled texts.
+NARROW = 0.01
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
@@ -31,11 +33,12 @@ def plain(text: str) -> bytes:
     return (" " + " ".join(w) + " ").encode("utf-8", "ignore") if w else b""
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", used: set | None = None) -> dict[str, bytes]:
     """Dictionaries of the languages in ``docs``: their plain text from a sample of SAMPLE_DOCS documents a language.
 
     The sample is the bounded one of a classifier: ids fall into SAMPLE_DOCS bins by hash, and each language takes the id
     with the smallest hash from each bin. Rows without language or text don't count; with none left the result is empty.
+    The ids of the sample are added to ``used``.
     """
     h = F.xxhash64(F.lit("sample"), F.col(key).cast("string"))
     d = docs.filter(F.col(lang).isNotNull() & (F.coalesce(F.length(text), F.lit(0)) > 0) & F.col(key).isNotNull())
@@ -46,6 +49,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return langs
     got = d.filter(F.col(key).isin(sorted({r["k"] for r in rows}))).select(key, lang, F.substring(text, 1, 8 * DICT_BYTES).alias("t"), h.alias("h")).collect()
     wanted = {(r["l"], r["k"]) for r in rows}
+    if used is not None:
+        used.update(r["k"] for r in rows)
     parts: dict[str, dict] = {}
     for r in sorted(got, key=lambda r: (r["h"], r["t"])):
         if (r[lang], r[key]) in wanted:
@@ -125,14 +130,34 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
+def learn(docs: DataFrame) -> tuple[dict[str, bytes], float]:
+    """Dictionaries from the labelled rows of ``doc_id, text, lang`` that aren't held out, and the margin under which to reject.
+
+    That is the NARROW quantile of the margins of all these rows with letters but the sample, to four digits, rounded
+    down; 0 if no row is left. Margins are counted by value, so 10,001 rows at most come to the driver.
+    """
+    used: set = set()
+    d = docs.select("doc_id", "text", "lang").filter(~held_out())
+    found = fit(d, used=used)
+    if not found:
+        return found, 0.0
+    rest = d.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~F.col("doc_id").isin(sorted(used)))
+    counts = sorted(predict(rest, found).filter(F.col("lang_pred") != UND).groupBy(F.floor(F.col("margin") * 10000).alias("m")).count().collect())
+    before, least = 0, NARROW * sum(n for _, n in counts)
+    for m, n in counts:
+        before += n
+        if before > least:
+            return found, m / 10000
+    return found, 0.0
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, min_margin: float = 0.0) -> DataFrame:
-    """Fit on the labelled rows that aren't held out, then predict every row: ``doc_id, held_out, lang_pred, score, margin, rejected``."""
-    d = fit(docs.select("doc_id", "text", "lang").filter(~held_out()))
-    return predict(docs, d, min_margin).withColumn("held_out", held_out())
+def identify(docs: DataFrame) -> DataFrame:
+    """Learn from the labelled rows that aren't held out, then predict every row: ``doc_id, held_out, lang_pred, score, margin, rejected``."""
+    return predict(docs, *learn(docs)).withColumn("held_out", held_out())
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,19 @@ def test_language(docs, rows):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_rejects_narrow_margins(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    words = {x: ["".join(rnd.choice(abc) for _ in range(rnd.randint(2, 8))) for _ in range(200)] for x, abc in (("aa", "abcdefgh"), ("zz", "stuvwxyz"), (None, "ijklmnop"))}
+    every = [(i, " ".join(rnd.choice(words[x]) for _ in range(rnd.randint(60, 120))), x, "s1") for i in range(600) for x in [("aa", "zz", None)[i % 3]]]
+    d = table(spark, every)
+    known = {i for i, _, x, _ in every if x}
+    out = {r["doc_id"] for r in language.identify(d).collect() if r["rejected"]}
+    assert len(out - known) >= 190 and len(out & known) <= 0.03 * len(known)
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, d, "").collect()} == {i for i, *_ in every} - out
+
+
 def test_lines(spark, docs, rows):
     seqs = {d: [x.strip(" \t\n\r\x0b\x0c") for x in (t or "").split("\n")] for d, t, *_ in rows if d is not None}
     holders = defaultdict(set)
