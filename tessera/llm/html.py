@@ -15,7 +15,13 @@ from tessera.llm.common import batch, pieces, table
 # Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist title meta link object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist title meta link object audio video canvas".split())
+#: Parts of svg and math that are not drawn where they stand, and tags that end svg and math.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_INSIDE = ("foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml")
+#: Largest spans of a cell.
+COLUMNS, ROWS = 1000, 65534
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp caption textarea".split()
 )
@@ -75,10 +81,10 @@ def build(html: str) -> Node:
     stack, at, n = Stack(root), 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
-        if m is None or m.start() > at:
+        if (m is None or m.start() > at) and stack.draws():
             stack[-1].kids.append(html[at : m.start() if m else n])
-            if m is None:
-                break
+        if m is None:
+            break
         at = m.end()
         if m[1] is None:
             continue
@@ -93,6 +99,11 @@ def build(html: str) -> Node:
             elif not stack.close((name,), IN_TABLE if name in TABLE_PARTS else SCOPE) and name == "p":
                 stack[-1].kids.append(Node("p"))
             continue
+        foreign = stack.foreign()
+        if foreign and name in BREAKOUT:
+            while stack.foreign() and stack.close(("svg", "math"), ()):
+                pass
+            foreign = False
         if name in ("html", "body") and any(x.name == name for x in stack[:3]):
             continue
         if name in CLOSES:
@@ -100,8 +111,10 @@ def build(html: str) -> Node:
         if name in ENDS_P:
             stack.close(("p",), P_BOUNDARY)
         node = Node(name, attrs)
+        if foreign and (name in UNDRAWN or node.attr("display") == "none" or node.attr("visibility") in ("hidden", "collapse")):
+            node.attrs = " hidden"
         stack[-1].kids.append(node)
-        if name in VOID:
+        if name in VOID or foreign and attrs.rstrip().endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
@@ -112,7 +125,7 @@ def build(html: str) -> Node:
             node.kids.append(Node("pre"))
             node.kids[0].kids.append(html[at:].replace("&", "&amp;"))
             break
-        elif name != "svg" or not attrs.rstrip().endswith("/"):
+        elif name not in ("svg", "math") or not attrs.rstrip().endswith("/"):
             stack.push(node)
     return root
 
@@ -133,6 +146,14 @@ class Stack(list):
             self.open[x.name] -= 1
         del self[i:]
 
+    def foreign(self) -> bool:
+        """Whether the next tag is one of svg or math."""
+        return bool(self.open["svg"] or self.open["math"]) and not any(self.open[x] for x in HTML_INSIDE)
+
+    def draws(self) -> bool:
+        """Whether text here is shown: in svg only that of its text elements and of HTML in it."""
+        return not self.open["svg"] or bool(self.open["text"] or self.open["foreignobject"] or self.open["math"])
+
     def close(self, names, boundary, every: bool = False) -> bool:
         """Close the innermost element of these names above any boundary, or with ``every`` the outermost."""
         if not any(self.open[x] for x in names):
@@ -265,6 +286,9 @@ def render(root: Node, depth: int = 0, inside_pre: bool = False) -> list[str]:
         else:
             if name in ("td", "th", "button", "select"):
                 page.text(" ", False)
+            elif name == "text":
+                page.text(" ", False)
+                todo.append((None, _gap(page), pre))
             todo += [(k, None, pre) for k in reversed(node.kids)]
     page.line()
     return page.lines
@@ -278,6 +302,10 @@ def _both(*steps):
     return run
 
 
+def _gap(page: Page):
+    return lambda: page.text(" ", False)
+
+
 def _unmark(page: Page):
     def run():
         page.mark = ""
@@ -292,6 +320,19 @@ def _table(node: Node, depth: int, pre: bool) -> list[str]:
     before: list[str] = []
     todo = list(reversed(node.kids))
     row: list | None = None
+    down: dict[int, int] = {}  # columns that cells of earlier rows reach into, and for how many rows
+    taken: set[int] = set()
+
+    def begin() -> list:
+        nonlocal taken
+        taken = set(down)
+        for c in taken:
+            down[c] -= 1
+            if not down[c]:
+                del down[c]
+        rows.append([])
+        return rows[-1]
+
     while todo:
         k = todo.pop()
         if k is None:
@@ -304,18 +345,23 @@ def _table(node: Node, depth: int, pre: bool) -> list[str]:
         if not k.seen():
             continue
         if k.name in ("tbody", "thead", "tfoot"):
+            down.clear()
             todo += reversed(k.kids)
         elif k.name == "tr":
-            row = []
-            rows.append(row)
+            row = begin()
             todo.append(None)
             todo += reversed(k.kids)
         elif k.name in ("td", "th"):
             if row is None:
-                row = []
-                rows.append(row)
+                row = begin()
+            while len(row) in taken:
+                row.append([])
+            first = len(row)
             row.append(render(_wrap(k.kids), depth, pre))
-            row += [[] for _ in range(min(100, _number(k.attr("colspan"), 1)) - 1)]
+            row += [[]] * (min(COLUMNS, _number(k.attr("colspan"), 1)) - 1)
+            height = _number(k.attr("rowspan"), 1)
+            if height > 1 or height == 0:
+                down.update(dict.fromkeys(range(first, len(row)), min(ROWS, height or ROWS) - 1))
         elif k.name not in ("col", "colgroup"):
             before += render(_wrap([k] if k.name != "caption" else k.kids), depth, pre)
     wide: list[int] = []

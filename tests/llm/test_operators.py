@@ -290,6 +290,17 @@ def test_html():
     assert html.extract("<div>" * 50000 + "deep") == "deep"
 
 
+def test_html_math_svg_spans():
+    assert html.extract("<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> hold") == "Let x=2 hold"
+    drawing = '<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><g/>stray<path d="M0" style="display:none"/><text>Axis</text><text>Label</text><text display="none">no</text></svg>'
+    assert html.extract(f"a{drawing}b") == "a Axis Label b"
+    assert html.extract("<svg><rect><p>after an open drawing") == "after an open drawing"
+    assert html.extract("<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E<tr><td>F<td>G") == "A  B  C\n   D  E\nF  G"
+    assert html.extract("<table><tbody><tr><td rowspan=0>A<td>B<tr><td>C<tbody><tr><td>D<td>E") == "A  B\n   C\nD  E"
+    wide = html.extract("<table><tr><td colspan=2000>A<td>B<tr>" + "<td>x" * 1001).split("\n")
+    assert wide[0].index("B") == wide[1].rindex("x")
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
