@@ -108,6 +108,12 @@ def _(s, d):
     return access.at(compress.compress_linear(p, BPC), p.select("series_id", "pos").filter("pos % 7 = 3"))
 
 
+@query("point_access_all", _CENTS)
+def _(s, d):
+    p = events(s, d)
+    return access.at(compress.compress_linear(p, BPC), p.select("series_id", "pos"))
+
+
 @query("position_access", f"SELECT series_id, pos, y FROM ({_CENTS}) WHERE pos = 17")
 def _(s, d):
     return access.at_position(compress.compress_linear(events(s, d), BPC), 17)
@@ -159,6 +165,12 @@ def _(s, d):
     return blocks.at_blocks(blocks.encode_blocks(p, "gorilla", 256), p.filter("pos % 101 = 0"), 256)
 
 
+@query("block_point_access_all", _PRICES)
+def _(s, d):
+    p = prices(s, d)
+    return blocks.at_blocks(blocks.encode_blocks(p, "gorilla", 256), p, 256)
+
+
 @query("block_range_scan", f"SELECT series_id, pos, y FROM ({_PRICES}) WHERE pos >= 100 AND pos < 400")
 def _(s, d):
     return blocks.scan_blocks(blocks.encode_blocks(prices(s, d), "lz4", 256), 100, 400, 256)
@@ -227,6 +239,19 @@ def _probes(s, d):
     return e.select((F.unix_micros(F.col("ts").cast("timestamp")) + 1234567 * (F.col("event_id") % 3 - 1)).alias("probe")).distinct()
 
 
+_ALL_PROBES = "SELECT DISTINCT key + 1234567 * (event_id % 3 - 1) AS probe FROM (SELECT epoch_us(ts) AS key, event_id FROM events)"
+
+
+def _all_probes(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.select((F.unix_micros(F.col("ts").cast("timestamp")) + 1234567 * (F.col("event_id") % 3 - 1)).alias("probe")).distinct()
+
+
+@query("ef_predecessor_all", f"SELECT p.probe, k.key AS predecessor FROM ({_ALL_PROBES}) p ASOF LEFT JOIN ({_TIMES}) k ON p.probe >= k.key")
+def _(s, d):
+    return index.predecessor(times(s, d), _all_probes(s, d))
+
+
 @query("ef_predecessor", f"SELECT p.probe, k.key AS predecessor FROM ({_PROBES}) p ASOF LEFT JOIN ({_TIMES}) k ON p.probe >= k.key")
 def _(s, d):
     return index.predecessor(times(s, d), _probes(s, d))
@@ -244,6 +269,13 @@ def _(s, d):
     return index.lower_bound(r, index.pgm_search(index.pgm_build(r), _probes(s, d), n), n)
 
 
+@query("pgm_lookup_all")  # the correlated SQL of pgm_lookup is too slow for all probes
+def _(s, d):
+    r = index.ranked(times(s, d)).persist()
+    n = r.count()
+    return index.lower_bound(r, index.pgm_search(index.pgm_build(r), _all_probes(s, d), n), n)
+
+
 @query("pgm_metadata")
 def _(s, d):
     return index.pgm_levels(index.pgm_build(index.ranked(times(s, d))))

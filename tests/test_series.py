@@ -165,3 +165,16 @@ def test_queries_search_all_widths(spark, tmp_path):
     want = [r["total_bits"] for r in metrics.sizes(compress.compress(p, queries.BPC)).collect()]
     for name in ("size_breakdown", "flagship"):
         assert [r["total_bits"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()] == want
+
+
+def test_queries_probe_every_row(spark):
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("unix_micros(CAST(ts AS timestamp)) AS key", "event_id").collect()
+    keys = np.unique([r["key"] for r in e])
+    probes = sorted({r["key"] + 1234567 * (r["event_id"] % 3 - 1) for r in e})
+    q = queries.QUERIES
+    assert sorted((r["probe"], r["rank"]) for r in q["pgm_lookup_all"](spark, d).collect()) == [(p, int(np.searchsorted(keys, p))) for p in probes]
+    before = [int(np.searchsorted(keys, p, "right")) - 1 for p in probes]
+    assert sorted((r["probe"], r["predecessor"]) for r in q["ef_predecessor_all"](spark, d).collect()) == [(p, int(keys[i]) if i >= 0 else None) for p, i in zip(probes, before, strict=True)]
+    for name, points in (("point_access_all", queries.events), ("block_point_access_all", queries.prices)):
+        assert sorted(map(tuple, q[name](spark, d).select("series_id", "pos", "y").collect())) == sorted(map(tuple, points(spark, d).select("series_id", "pos", "y").collect()))
