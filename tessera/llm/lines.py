@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, materialise, pieces, spread, table
+from tessera.llm.common import batch, materialise, pieces, small_batches, spread, table
 
 #: Lines that so few documents have are rare. Partners no longer depend on it.
 RARE = 40
@@ -135,7 +134,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_chars: int) -> DataFrame:
     """``sid, removed`` of each pair ``sid, other`` by which lines of ``sid`` go."""
 
     def align(batches):
-        for b in pieces(batches, rows=2048):
+        for b in pieces(batches, rows=1024):
             got = [[], []]
             for sid, mine, chars, earlier in zip(*(b[c].to_pylist() for c in ("sid", "hashes", "chars", "earlier")), strict=True):
                 if gone := common_lines(mine, earlier, chars, min_chars):
@@ -159,6 +158,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     align with more and more of its holders of smaller id, until no run is open or all of them have been tried. So the
     result is that of all pairs, while a run that all its holders align takes few. Only arrays of line hashes travel.
     """
+    small_batches(docs.sparkSession)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     clean = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     d = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), clean.alias("c"))
@@ -167,7 +167,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     texts = materialise(seqs.groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("hashes").alias("hashes"), F.first("chars").alias("chars")), "texts")
 
     def cut(batches):
-        for b in pieces(batches, rows=2048):
+        for b in pieces(batches):
             got = [[] for _ in RUNS]
             for sid, doc, mine, chars in zip(*(b[c].to_pylist() for c in ("sid", "id", "hashes", "chars")), strict=True):
                 for run in runs(mine, chars, min_chars):
@@ -206,14 +206,12 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return copies.unionByName(firsts).groupBy("doc_id", "th").agg(F.first("removed").alias("removed"))
 
 
-def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
-    def cut(t, gone):
-        if t is None or gone is None:
-            return t
-        gone = set(gone.tolist())
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-
-    return pd.Series([cut(t, g) for t, g in zip(text, removed, strict=True)], dtype=object)
+def _without(text: Column, removed: Column) -> Column:
+    """The text without the lines of these numbers, in one pass over its lines."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    held = F.transform(F.array(F.struct(lines.alias("lines"), kept.alias("kept"))), lambda s: F.transform(s["kept"], lambda i: s["lines"][i]))
+    return F.array_join(held[0], "\n")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, removed: str | None = None) -> DataFrame:
@@ -226,7 +224,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, removed: str | None
     gone = materialise(duplicate_lines(docs.select("doc_id", "text"), min_chars), "removed")
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("removed").alias("__removed"))
     j = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
-    j = j.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.pandas_udf(_without, "string")("text", "__removed")))
+    j = j.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__removed"))))
     return j.select(*docs.columns, *([F.col("__removed").alias(removed)] if removed else []))
 
 
