@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,14 +17,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process gets a temporary folder, which goes when that process ends; on a
+    cluster executors would not see it, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application; call it when the results have been written, which read them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Unless the session sets them, rows go to Python in batches of so many: long texts make the default of 10,000 large."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -61,7 +82,31 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Bits of the map of ids in ``sieve``, at most: 4 MB.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose long ``key`` is in ``ids`` (one column, distinct), and some others: a cheap first step of a semi-join.
+
+    The ids are hashed to a map of bits, 16 an id up to ``SIEVE_BITS``, whose 4 KB pieces are broadcast; so rows that
+    have no match mostly go before anything of them is shuffled. With more ids the map fills up and lets more rows pass.
+    """
+    spark, name = df.sparkSession, ids.columns[0]
+    bits = min(SIEVE_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(7), F.col(c).cast("long")), F.lit(bits))
+    at = ids.filter(F.col(name).isNotNull()).select((place(name) + 1).alias("at"))
+    pieces_ = at.groupBy(F.bitmap_bucket_number("at").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    pieces_ = materialise(pieces_, "sieve")
+    p = df.withColumn("__at", place(key))
+    j = p.join(F.broadcast(pieces_), F.shiftright("__at", 15) + 1 == F.col("__piece"))
+    low = F.col("__at").bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), low.bitwiseAND(F.lit(7)).cast("int"))) != 0
+    return j.filter(hit).select(*df.columns)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of the graph of ``edges`` between long ids: one row ``(node, component)`` per node with an edge.
 
     Alternates large-star and small-star rounds until nothing changes; each round is one written table.
@@ -74,7 +119,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     e = materialise(down(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))), "edges")
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = spread(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -86,12 +131,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-def sql_text(pattern: str) -> str:
-    return re.sub("'", "''", pattern)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, connected_components, materialise, pieces, spread, table
+from tessera.llm.common import batch, connected_components, materialise, pieces, sieve, small_batches, spread, table
 
 SHINGLE = 3
 SEED = 42
@@ -208,49 +208,118 @@ BANDS, ROWS = 25, 6
 _MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 _MULTIPLY |= np.uint32(1)
 
-PROFILES = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: Lowest bits of so many minima, and how many of them agree at least in two sets of SIMILARITY: 115 are expected there
+#: with a deviation of 3.4, so that one pair in 10**10 is lost; sets that share little agree in 64 to 77.
+SKETCH, AGREE = 128, 92
+#: Buckets of more classes than this don't compare sketches in pairs.
+SMALL = 64
+
+PROFILES = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("hs", pa.list_(pa.int32()))])
 
 
-def _band_keys(u: np.ndarray) -> list[int]:
-    """Keys of the bands of a set of 32-bit hashes."""
+def _minima(u: np.ndarray) -> np.ndarray:
+    """The smallest value of each permutation over a set of 32-bit hashes."""
     low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(u), 2048):  # bounded memory for very long texts
         np.minimum(low, (u[None, at : at + 2048] * _MULTIPLY + _ADD).min(axis=1), out=low)
+    return low
+
+
+def _band_keys(low: np.ndarray) -> list[int]:
     keys = [xxhash.xxh64_intdigest(low[ROWS * i : ROWS * (i + 1)].tobytes(), i) for i in range(BANDS)]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def _sketch(low: np.ndarray) -> list[int]:
+    return np.packbits((low[:SKETCH] & np.uint32(1)).astype(np.uint8)).view(np.int64).tolist()
+
+
 def _folded(hashes: np.ndarray) -> np.ndarray:
     return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
 
 def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """Fingerprint, digest and size of the shingle set, and band keys of every row."""
+    """Fingerprint, digest and size of the shingle set, sketch and band keys of every row."""
 
     def run(batches):
         for b in pieces(batches):
-            rows = [[], [], [], []]
+            rows = [[] for _ in PROFILES.names[1:]]
             for t in b["text"].to_pylist():
                 h = shingle_hashes(t, shingle)
                 u = _folded(h)
+                low = _minima(u)
                 both = np.array([majority(h), xxhash.xxh64_intdigest(np.unique(h).tobytes())], np.uint64).view(np.int64).tolist()
-                for out, x in zip(rows, (*both, len(u), _band_keys(u) if len(u) else []), strict=True):
+                for out, x in zip(rows, (*both, len(u), *_sketch(low), _band_keys(low) if len(u) else []), strict=True):
                     out.append(x)
             yield batch(PROFILES, [b["doc_id"], *rows])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, cls long, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, cls long, n long, s0 long, s1 long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """``row, id, hs``: the sorted set of 32-bit shingle hashes of every row of ``docs`` whose id is in ``ids`` (one column, distinct)."""
-    texts = docs.select("doc_id", "text").join(ids.toDF("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    """``row, id, hs``: the sorted set of 32-bit shingle hashes of every row of ``docs`` whose id is in ``ids`` (one column, distinct),
+    and of some others. The texts aren't shuffled."""
 
     def run(batches):
         for b in pieces(batches):
             yield batch(SETS, [b["doc_id"], [_folded(shingle_hashes(t, shingle)).view(np.int32) for t in b["text"].to_pylist()]])
 
-    return materialise(texts.mapInArrow(run, "id long, hs array<int>").select(F.monotonically_increasing_id().alias("row"), "id", "hs"), "sets")
+    sets = sieve(docs.select("doc_id", "text"), ids).mapInArrow(run, "id long, hs array<int>")
+    return materialise(sets.select(F.monotonically_increasing_id().alias("row"), "id", "hs"), "sets")
+
+
+def _alike(n, m, s0, t0, s1, t1, similarity: float):
+    """Whether sizes and sketches leave the similarity possible."""
+    differ = F.bit_count(F.col(s0).bitwiseXOR(F.col(t0))) + F.bit_count(F.col(s1).bitwiseXOR(F.col(t1)))
+    return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - _SLACK) & (differ <= SKETCH - AGREE)
+
+
+def _in_buckets(similarity: float):
+    """``a, b, ca, cb`` of those pairs in a bucket that are in different components and that sizes and sketches let pass;
+    the rows come sorted by key, a bucket has SMALL rows at most."""
+
+    def work(t: pa.Table):
+        key, rep, c, n, s0, s1 = (t[x].to_numpy() for x in ("key", "rep", "c", "n", "s0", "s1"))
+        found = [[], [], [], []]
+        for lag in range(1, SMALL):
+            i = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(i):
+                break
+            j = i + lag
+            differ = np.bitwise_count(s0[i] ^ s0[j]).astype(int) + np.bitwise_count(s1[i] ^ s1[j])
+            ok = (c[i] != c[j]) & (differ <= SKETCH - AGREE) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - _SLACK)
+            i, j = i[ok], j[ok]
+            swap = rep[i] > rep[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            for out, x in zip(found, (rep[i], rep[j], c[i], c[j]), strict=True):
+                out.append(x)
+        if found[0]:
+            p = np.unique(np.stack([np.concatenate(x) for x in found], axis=1), axis=0)
+            if len(p):
+                yield batch(CROSS, list(p.T))
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows < 50_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = int((t["key"].to_numpy() == t["key"][-1].as_py()).argmax())  # the last bucket may go on
+            if cut:
+                yield from work(t.slice(0, cut))
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+CROSS = pa.schema([(x, pa.int64()) for x in ("a", "b", "ca", "cb")])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -258,7 +327,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     j = pairs.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("x")), "a")
     j = spread(j).join(spread(sets.select(F.col("id").alias("b"), F.col("hs").alias("y"))), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return j.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).drop("x", "y").distinct()
+    return j.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - _SLACK).drop("x", "y").distinct()
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``_verified`` with sets made for the ids in ``pairs`` alone."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return _verified(pairs, _shingle_sets(docs, ids, shingle), similarity)
 
 
 #: Lengths that come from a similarity are rounded so that an error of the last bit only lets more candidates through.
@@ -292,38 +367,51 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
 
     Two documents link if their fingerprints differ in two bits or fewer, or if their sets of word shingles have at least
     ``similarity``. At 64 bits a similarity of 0.8 is a distance of about ten, where the chains prune almost nothing;
-    candidates for the second kind of link therefore share a band of minima and are then checked exactly. Texts of one
-    shingle set are one class. In each bucket, classes are first held against the one of smallest id. Classes of buckets
-    in which components still differ are then held against those of other components by prefix filtering; so no link
-    between components is left out, and neither copies of one text nor all members of a bucket meet in pairs. Null and
-    empty texts are copies of each other. Rows that share an id count as one document that has all their texts. An empty
-    table gives no rows.
+    candidates for the second kind of link therefore share a band of minima, agree in size and in a sketch, and are then
+    checked exactly. Texts of one shingle set are one class. In each bucket, classes are first held against the one of
+    smallest id. Of what is still in different components, all pairs of a bucket of SMALL classes or fewer are tried; the
+    classes of larger buckets are held against those of other components by prefix filtering. So no link between
+    components is left out, and neither copies of one text nor all members of a large bucket meet in pairs. Null and empty
+    texts are copies of each other. Rows that share an id count as one document that has all their texts. An empty table
+    gives no rows. Texts travel only to Python workers; shuffled are profiles, band keys, and the sets of candidates.
     """
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     signs = materialise(_profiles(d, shingle), "profiles")
     fingerprints, links = _fingerprint_links(signs.select("doc_id", "fp"))
-    reps = materialise(signs.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.any_value("bands").alias("bands")), "reps")
+    one = F.min(F.struct("doc_id", "n", "s0", "s1", "bands")).alias("one")  # all of a class have the same set
+    reps = signs.groupBy("cls").agg(one).select("cls", F.col("one.doc_id").alias("rep"), "one.n", "one.s0", "one.s1", "one.bands")
+    reps = materialise(reps, "reps")
     alike = signs.select("cls", "fp").distinct().join(fingerprints.withColumnRenamed("rep", "b"), "fp").select("cls", "b")
     alike = alike.join(reps.select("cls", F.col("rep").alias("a")), "cls").filter("a <> b").select("a", "b")
 
-    each = reps.select("rep", "n", F.explode("bands").alias("key"))
-    first = each.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("rep", "n")).alias("first")).filter("k > 1").drop("k")
+    each = reps.select("cls", "rep", F.explode("bands").alias("key"))
+    first = each.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("rep", "cls")).alias("first")).filter("k > 1")
     shared = materialise(each.join(spread(first), "key"), "buckets")
-    sets = _shingle_sets(d, shared.select("rep").distinct(), shingle)
-    star = shared.filter((F.col("rep") != F.col("first.rep")) & (F.least("n", "first.n") >= F.lit(similarity) * F.greatest("n", "first.n")))
-    star = materialise(star.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    found = connected_components(links.unionByName(alike).unionByName(_verified(star, sets, similarity)))
-
-    known = materialise(reps.join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("component_id")), "known")
-    m = shared.select("key", "rep").join(spread(known.select(F.col("rep").alias("id"), F.col("component_id").alias("c")).distinct()), F.col("rep") == F.col("id"))
-    mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = materialise(m.join(spread(mixed), "key").select("id", "c").distinct(), "open")
-    cross = materialise(_sharing_prefix(sets.join(open_, "id"), similarity), "cross")
-    late = materialise(_verified(cross, sets, similarity).select("ca", "cb").distinct(), "late")
+    about = reps.select(F.col("cls").alias("cls_"), "n", "s0", "s1")
+    star = shared.filter(F.col("cls") != F.col("first.cls")).select("cls", "rep", F.col("first.cls").alias("c0"), F.col("first.rep").alias("r0")).distinct()
+    star = star.join(about.toDF("c0", "m", "t0", "t1"), "c0").join(about.toDF("cls", "n", "s0", "s1"), "cls").filter(_alike(F.col("n"), F.col("m"), "s0", "t0", "s1", "t1", similarity))
+    star = materialise(star.select(F.col("r0").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    found = connected_components(links.unionByName(alike).unionByName(_checked(star, d, shingle, similarity)))
+
+    known = reps.drop("bands").join(found, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+    known = materialise(known, "known")
+    m = materialise(shared.select("cls", "key", "k").join(spread(known), "cls").select("key", "k", "rep", "c", "n", "s0", "s1"), "members")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = m.filter(F.col("k") <= SMALL).drop("k").repartition(n, "key").sortWithinPartitions("key")
+    cross = few.mapInArrow(_in_buckets(similarity), "a long, b long, ca long, cb long")
+    many = m.filter(F.col("k") > SMALL)
+    mixed = many.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    open_ = materialise(many.join(spread(mixed), "key").select(F.col("rep").alias("id"), "c").distinct(), "open")
+    if not open_.isEmpty():
+        sets = _shingle_sets(d, open_.select("id").distinct(), shingle)
+        cross = cross.unionByName(_sharing_prefix(sets.join(open_, "id"), similarity))
+    cross = materialise(cross.distinct(), "cross")
+    late = materialise(_checked(cross, d, shingle, similarity).select("ca", "cb").distinct(), "late")
     if not late.isEmpty():
         more = connected_components(late, "ca", "cb")
-        known = known.join(more, F.col("component_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "component_id"))
-    known = known.select("cls", "component_id")
+        known = known.join(more, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("component", "c"))
+    known = known.select("cls", F.col("c").alias("component_id"))
     return signs.select("doc_id", "cls").join(spread(known), "cls").select("doc_id", "component_id")
 
 
