@@ -38,7 +38,7 @@ class Vocabulary:
     ``decode(ids, skip_special_tokens=False)`` gives for a file without decoder: tokens joined by one space.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 1 << 17):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
