@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tessera.llm.common import batch, pieces, table
+from tessera.llm.common import batch, pieces, small_batches, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
@@ -103,23 +103,25 @@ class Classifier:
         return order[0], min(1.0, 1 - (1 - margin) ** 10), margin, margin < min_margin
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.0, keep: DataFrame | None = None) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.0, keep: DataFrame | None = None, rejected: str = "rejected") -> DataFrame:
     """``doc_id, lang_pred, score, margin, rejected`` of every row, from the whole text alone.
 
     ``und``, rejected, for null texts and texts without letters (and for all if nothing could be learned). Margins under
     ``min_margin`` are rejected, but keep their prediction. A map over Arrow batches, without a shuffle; the dictionaries
     (64 KB a language) travel with the function. Rows that repeat give rows that repeat; an empty table gives none.
-    With ``keep``, a table that has ``text``, its rows are the input and keep all their columns, ``rejected`` is added.
+    With ``keep``, a table that has ``text``, its rows are the input and keep all their columns; a column named by
+    ``rejected`` is added, which must not be one of them, and only the texts travel to Python.
     """
+    small_batches(docs.sparkSession)
     if keep is not None:
 
-        def rejected(batches):
+        @F.arrow_udf("boolean")
+        def gone(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             c = Classifier(dictionaries)
-            for b in pieces(batches):
-                gone = [c.predict(t, min_margin)[3] for t in b["text"].to_pylist()]
-                yield b.append_column("rejected", pa.array(gone, pa.bool_()))
+            for a in texts:
+                yield pa.array([c.predict(t.as_py(), min_margin)[3] for t in a], pa.bool_())
 
-        return keep.drop("rejected").mapInArrow(rejected, StructType([*keep.drop("rejected").schema, StructField("rejected", BooleanType())]))
+        return keep.withColumn(rejected, gone(F.col("text")))
 
     def run(batches):
         c = Classifier(dictionaries)
