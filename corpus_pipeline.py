@@ -16,8 +16,8 @@ from tessera.llm.common import materialise
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told go on unchanged; those that the classifier rejects go."""
     fitted, min_margin = language.learn(docs)
-    found = language.predict(docs.select("doc_id", "text"), fitted, min_margin, keep=docs)
-    return found.filter("NOT rejected").select(*docs.columns)
+    found = language.predict(docs.select("doc_id", "text"), fitted, min_margin, keep=docs, rejected="__rejected")
+    return found.filter("NOT __rejected").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
