@@ -160,21 +160,24 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     Equal vectors are compared once and count with their number. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, and so do rows without id; vectors of different dimension don't link. Every link
     reported has a cosine of ``similarity`` or more in double precision; of the links at just that cosine a share of
-    ``recall`` is expected to be found. Rows that share an id and a vector are members each. No rows give no rows.
+    ``recall`` is expected to be found. Rows that share an id are members each, of the class of their own vector. No rows give no rows.
     """
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("embedding"))
     good = usable(F.col("embedding")) & F.col("id").isNotNull()
     v = v.withColumn("k1", F.when(good, F.xxhash64("embedding"))).withColumn("k2", F.when(good, F.xxhash64(F.lit(1), "embedding")))
     rows = v.select("id", "k1", "k2")
-    reps = materialise(rows.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "reps")
-    first = v.join(reps.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "rep", "mult"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("id") == F.col("rep")))
+    reps = rows.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("mult"))
+    reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # ids may repeat, so classes get their own
+    first = v.join(reps.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "low", "rep", "mult"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("id") == F.col("low")))
     distinct = materialise(first.select("rep", "mult", "embedding").dropDuplicates(["rep"]), "vectors")
     bits, tables = plan(distinct.count(), similarity, recall)
     found = materialise(links(distinct, bits, tables, similarity), "links")
-    comp = connected_components(found.filter("b IS NOT NULL"))
+    comp = materialise(connected_components(found.filter("b IS NOT NULL")).join(reps.select("rep", "low"), F.col("node") == F.col("rep")).select("node", "component", "low"), "members")
+    least = comp.groupBy(F.col("component").alias("whole")).agg(F.min("low").alias("component_id"))
+    comp = comp.drop("low").join(spread(least), F.col("component") == F.col("whole")).select("node", "component_id")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     reps = reps.join(spread(comp), F.col("rep") == F.col("node"), "left").join(spread(counts), F.col("rep") == F.col("a"), "left")
-    reps = materialise(reps.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes")
+    reps = materialise(reps.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")), "classes")
     out = rows.join(reps, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
     comp_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.col("id").eqNullSafe(comp_id).alias("kept"))
