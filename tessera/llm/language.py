@@ -17,6 +17,8 @@ UND = "und"
 #: The fitted sample: per language at most so many documents, and so many bytes of each, which make the dictionary.
 SAMPLE_DOCS = 64
 DICT_BYTES = 64 * 1024
+#: Of a sampled text no more characters come to the driver, twice what the whole dictionary holds.
+SAMPLE_CHARS = 2 * DICT_BYTES
 #: Whole texts are compressed in pieces of this size, so that the dictionary stays of use; below SHORT the carrier is put before them.
 PIECE = 4096
 SHORT = 256
@@ -30,13 +32,14 @@ PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("sco
 def plain(text: str) -> bytes:
     """Lower case, words of letters only, one space between and around them."""
     w = LETTERS.findall(text.lower())
+    w = [p for x in w for p in ((x,) if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]  # numerals such as ½ aren't letters
     return (" " + " ".join(w) + " ").encode("utf-8", "ignore") if w else b""
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", used: set | None = None) -> dict[str, bytes]:
     """Dictionaries of the languages in ``docs``: their plain text from a sample of SAMPLE_DOCS documents a language.
 
-    The sample is the bounded one of a classifier: ids fall into SAMPLE_DOCS bins by hash, and each language takes the id
+    The sample is the bounded one of a classifier (SAMPLE_DOCS times SAMPLE_CHARS characters a language): ids fall into SAMPLE_DOCS bins by hash, and each language takes the id
     with the smallest hash from each bin. Rows without language or text don't count; with none left the result is empty.
     The ids of the sample are added to ``used``.
     """
@@ -47,7 +50,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     langs: dict[str, bytes] = {}
     if not rows:
         return langs
-    got = d.filter(F.col(key).isin(sorted({r["k"] for r in rows}))).select(key, lang, F.substring(text, 1, 8 * DICT_BYTES).alias("t"), h.alias("h")).collect()
+    got = d.filter(F.col(key).isin(sorted({r["k"] for r in rows}))).select(key, lang, F.substring(text, 1, SAMPLE_CHARS).alias("t"), h.alias("h")).collect()
     wanted = {(r["l"], r["k"]) for r in rows}
     if used is not None:
         used.update(r["k"] for r in rows)
