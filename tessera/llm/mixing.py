@@ -66,11 +66,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns stay as they are."""
+    """``docs`` with each row as often as the mix takes it; columns stay as they are, whatever their names are besides ``__id``,
+    ``__source``, ``__size``, ``__copies`` and ``__copy``. Null ids, sources and texts match themselves; an empty table gives no rows."""
     names = docs.columns
-    taken = materialise(mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").distinct(), "copies")
+    taken = materialise(mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct(), "copies")
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (words(F.col("text")) == F.col("__size"))
-    return docs.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    return docs.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
