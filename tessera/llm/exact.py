@@ -45,9 +45,13 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_groups(docs, key, text).filter("kept").select(F.col("id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(key).eqNullSafe(F.col("__stay")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are told by id and text, so of rows that share an id only those whose own text stays do; rows alike in both stay
+    or go together. Null texts count as empty, null ids match themselves, an empty table gives an empty table.
+    """
+    stay = exact_groups(docs, key, text).filter("kept").select(F.col("id").alias("__stay"), F.col("full_hash").alias("__hash")).distinct()
+    return docs.join(stay, F.col(key).eqNullSafe(F.col("__stay")) & (F.sha2(normalised(F.col(text)), 256) == F.col("__hash")), "left_semi")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
