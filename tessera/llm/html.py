@@ -279,6 +279,8 @@ def render(root: Node, depth: int = 0, inside_pre: bool = False) -> list[str]:
                 end = _both(end, page.indent.pop)
             kids = node.kids
             pre = pre or name in ("pre", "xmp", "textarea")
+            if name == "details" and node.attr("open") is None:  # closed: only its summary shows
+                kids = [k for k in kids if isinstance(k, Node) and k.name == "summary"][:1]
             if pre and name == "pre" and kids and isinstance(kids[0], str) and kids[0][:1] == "\n":
                 kids = [kids[0][1:], *kids[1:]]
             todo.append((None, end, pre))
@@ -398,6 +400,9 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_lines", p
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, text, n_lines`` of every row of ``page_id, html``: a map over Arrow batches, without a shuffle.
 
+    Hidden are the elements whose own ``hidden``, ``style`` or name says so, and what closed ``details`` and ``dialog``
+    hold; style sheets aren't applied. Layout, but no text, is given up in two cases: tables nested deeper than DEEPEST
+    are laid out as blocks, and columns aren't padded for cells longer than WIDE.
     Null and empty html give empty text. Very long and very deep pages are walked without recursion. Rows that repeat
     give rows that repeat; an empty table gives none.
     """
