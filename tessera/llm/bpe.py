@@ -150,7 +150,8 @@ def default_vocabulary() -> str:
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (array of int) of each whole text; null text counts as empty."""
+    """``docs`` with a column of token ids (array of int) of each whole text; null text counts as empty, an empty table stays
+    empty, rows that repeat stay, and a column that is named like the new one is replaced."""
     path = path or default_vocabulary()
 
     @F.pandas_udf("array<int>")
@@ -161,7 +162,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
 
 
 def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, text: str = "decoded") -> DataFrame:
-    """``docs`` with the text of a column of ids; ids outside the vocabulary are left out, null counts as no ids."""
+    """``docs`` with the text of a column of ids; ids outside the vocabulary are left out, null counts as no ids, an
+    empty table stays empty, and a column that is named like the new one is replaced."""
     path = path or default_vocabulary()
 
     @F.pandas_udf("string")

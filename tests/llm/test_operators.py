@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, embeddings, exact, html, language, lines, mixing, simhash, suffix, warc
 
@@ -72,6 +73,30 @@ def test_exact(docs, rows):
         assert r["group_size"] == len(g) and r["keep_id"] == min((q for q in g if q is not None), default=None) and r["kept"] == (r["id"] == r["keep_id"])
 
 
+def test_exact_by_row(spark):
+    some = table(spark, [(3, "B", "aa", "s"), (5, "A", "aa", "s"), (5, "B", "aa", "s"), (None, None, None, None), (9, "", None, "s")])
+    assert sorted((r["doc_id"], r["text"]) for r in exact.exact_dedup(some).collect()) == [(3, "B"), (5, "A"), (9, "")]
+    assert exact.exact_dedup(table(spark, [])).count() == 0
+
+
+def test_sieve(spark):
+    from tessera.llm.common import sieve
+
+    every = spark.range(20000).select((F.col("id") - 9000).alias("doc_id"), F.lit("x").alias("text"))
+    ids = spark.range(0, 11000, 7).select((F.col("id") - 9000).alias("id"))
+    got = {r["doc_id"] for r in sieve(every, ids).collect()}
+    want = {i - 9000 for i in range(0, 11000, 7)}
+    assert want <= got and len(got) < len(want) + 3000
+    assert sieve(every, ids.limit(0)).count() == 0
+
+
+def test_bpe_columns(spark):
+    d = spark.createDataFrame([("Hello World", 1), (None, 2), ("", 3)], "text string, ids int")
+    got = bpe.decode(bpe.encode(d)).select("text", "decoded").collect()
+    assert [tuple(r) for r in got] == [("Hello World", "hello</w> world</w>"), (None, ""), ("", "")]
+    assert bpe.decode(bpe.encode(d.limit(0))).count() == 0
+
+
 def test_simhash(spark, docs, rows):
     def plain(t):
         import xxhash
@@ -301,6 +326,22 @@ def test_html_math_svg_spans():
     assert wide[0].index("B") == wide[1].rindex("x")
 
 
+def test_html_details():
+    assert html.extract("<details><summary>S</summary><p>hidden</p></details><details open><summary>T</summary><p>shown</p></details>") == "S\nT\n\nshown"
+
+
+def test_mixing_clashing_columns(spark, docs):
+    d = docs.withColumn("copies", F.lit(1)).withColumn("size", F.lit(2)).withColumn("taken", F.lit(3))
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns and out.count() == mixing.mixed_documents(docs).count()
+
+
+def test_language_letters(docs):
+    assert all(language.plain(x) == b"" for x in ("½", "²", "①", "12 __", "")) and language.plain("A½b") == b" a b "
+    kept = language.predict(docs, {}, keep=docs.withColumn("margin", F.lit(1)), rejected="gone").collect()
+    assert all(r["gone"] and r["margin"] == 1 for r in kept)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
@@ -347,6 +388,12 @@ def test_embeddings(spark):
     assert (got.loc[900:, "n_links"] == 0).all() and got.loc[900:, "kept"].all()
 
 
+def test_embeddings_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (4, [0.0, 0.0, 1.0])]
+    got = sorted(tuple(r) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.99999).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert bpe.digests(none).count() == exact.exact_groups(none).count() == simhash.near_groups(none.select("doc_id", "text")).count() == 0
