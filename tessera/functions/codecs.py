@@ -3,30 +3,28 @@
 from __future__ import annotations
 
 import lzma
-import math
 
 import numpy as np
 import pyarrow as pa
 
+from tessera.functions.bits import field, pack, pack_fields, unpack
+
 MASK = (1 << 64) - 1
 
 
 class Writer:
-    """Bits, most significant first."""
+    """Fields of up to 64 bits, most significant bit first; packed all together at the end."""
 
     def __init__(self):
-        self.done, self.acc, self.n, self.size = bytearray(), 0, 0, 0
+        self.values, self.widths = [], []
 
     def put(self, value: int, bits: int) -> None:
-        self.acc, self.n, self.size = self.acc << bits | value, self.n + bits, self.size + bits
-        if self.n >= 512:
-            keep = self.n & 7
-            self.done += (self.acc >> keep).to_bytes(self.n >> 3, "big")
-            self.acc, self.n = self.acc & ((1 << keep) - 1), keep
+        self.values.append(value)
+        self.widths.append(bits)
 
-    def bytes(self) -> bytes:
-        pad = -self.n % 8
-        return bytes(self.done) + (self.acc << pad).to_bytes((self.n + pad) >> 3, "big")
+    def done(self) -> tuple[bytes, int]:
+        widths = np.array(self.widths, np.int64)
+        return pack_fields(np.array(self.values, np.uint64), widths), int(widths.sum())
 
 
 class Reader:
@@ -71,7 +69,7 @@ def gorilla_encode(v: list[int]) -> tuple[bytes, int]:
             w.put(n & 63, 6)
             w.put(x >> tz, n)
             lead, trail = lz, tz
-    return w.bytes(), w.size
+    return w.done()
 
 
 def gorilla_decode(data: bytes, n: int) -> list[int]:
@@ -144,7 +142,7 @@ def chimp_encode(v: list[int], window: int = 1) -> tuple[bytes, int]:
                 w.put(c, 3)
                 stored = c
             w.put(x, 64 - CLASSES[c])
-    return w.bytes(), w.size
+    return w.done()
 
 
 def chimp_decode(data: bytes, n: int, window: int = 1) -> list[int]:
@@ -172,24 +170,38 @@ def chimp_decode(data: bytes, n: int, window: int = 1) -> list[int]:
     return out
 
 
+def _zeros(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading and trailing zeros of 64-bit patterns; 64 and 64 of zero."""
+    full = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        full |= full >> np.uint64(k)
+    low = (x & (~x + np.uint64(1))) - np.uint64(1)
+    return 64 - np.bitwise_count(full).astype(np.int64), np.bitwise_count(low).astype(np.int64)
+
+
+#: Values that a block of TSXor refers back to.
+NEAR = 127
+
+
 def tsxor_encode(v: list[int]) -> tuple[bytes, int]:
     """Whole bytes, and a window of the last 127 values (zeros at first), newest first: a hit is its place; else the xor
     with the value that leaves most zeros at both ends, without its zero bytes; else 255 and the value."""
-    out, window = bytearray(), [0] * 127
-    for x in v:
-        if x in window:
-            out.append(window.index(x))
+    out = bytearray()
+    past = np.concatenate((np.zeros(NEAR, np.uint64), np.array(v, np.uint64)))
+    for k, x in enumerate(v):
+        d = past[k : k + NEAR][::-1] ^ past[k + NEAR]
+        hit = np.flatnonzero(d == 0)
+        if len(hit):
+            out.append(int(hit[0]))
+            continue
+        lead, trail = _zeros(d)
+        o = int((lead + trail).argmax())
+        lead, trail = int(lead[o]) // 8, int(trail[o]) // 8
+        if lead + trail > 1:
+            n = 8 - lead - trail
+            out += bytes((0x80 | o, trail << 4 | n)) + (int(d[o]) >> 8 * trail).to_bytes(n, "big")
         else:
-            score = [clz(x ^ y) + ctz(x ^ y) for y in window]
-            o = score.index(max(score))
-            d = x ^ window[o]
-            lead, trail = clz(d) // 8, ctz(d) // 8
-            if lead + trail > 1:
-                n = 8 - lead - trail
-                out += bytes((0x80 | o, trail << 4 | n)) + (d >> 8 * trail).to_bytes(n, "big")
-            else:
-                out += b"\xff" + x.to_bytes(8, "big")
-        window = [x, *window[:-1]]
+            out += b"\xff" + x.to_bytes(8, "big")
     return bytes(out), 8 * len(out)
 
 
@@ -211,90 +223,82 @@ def tsxor_decode(data: bytes, n: int) -> list[int]:
     return out
 
 
-def dac_levels(histogram: list[int], most: int = 64) -> list[int]:
-    """Bit widths of the levels with the fewest bits in all; ``histogram[b]`` counts the values of ``b`` bits or more, b from 0."""
-
-    def overflow(n: int, m: int) -> float:
-        if not n or not m or n == m:
-            return 128
-        p = m / n
-        return min(1.02 * n, 128 + (0.1 - p * math.log2(p) - (1 - p) * math.log2(1 - p)) * n)
-
-    top = max((b for b, c in enumerate(histogram) if c), default=0)
-    count = lambda b: histogram[b + 1] if b + 1 < len(histogram) else 0  # noqa: E731  values that need more than b bits
-    inf = float("inf")
-    # best[l][b]: cost of values that need more than b bits, with l levels left
-    best, choice = [[0.0 if b >= top else inf for b in range(top + 1)]], []
-    for _ in range(most):
-        now, pick = [0.0 if b >= top else inf for b in range(top + 1)], [0] * (top + 1)
-        for b in range(top):
-            have = count(b) if b else histogram[0]
-            for c in range(b + 1, top + 1):
-                x = c * (have - count(c)) + overflow(have, count(c)) + best[-1][c]
-                if x < now[b]:
-                    now[b], pick[b] = x, c
-        if now == best[-1]:
-            break
-        best.append(now)
-        choice.append(pick)
-    out, b = [], 0
-    for pick in reversed(choice):
-        if b >= top:
-            break
-        b = pick[b]
-        out.append(b)
-    return out or [max(1, top)]
+def dac_levels(at_least: list[int]) -> list[int]:
+    """Bit widths of the levels that make ``dac_encode`` write the fewest bits; ``at_least[b]`` counts the values of ``b`` bits or more.
 
+    A level of ``c`` bits takes a header byte, ``c`` bits for each value that ends in it, and, if any goes on, a mark for
+    each value that reaches it.
+    """
+    top = max((b for b, n in enumerate(at_least) if n), default=0) or 1
+    beyond = [*at_least[1:], *[0] * (top + 2)]  # values of more than b bits
+    cheapest, chosen = [0] * (top + 1), [top] * (top + 1)
+    for b in range(top - 1, -1, -1):
+        reach = beyond[b] if b else at_least[0]
+        cheapest[b], chosen[b] = min((8 + c * (reach - beyond[c]) + (reach if beyond[c] else 0) + cheapest[c], c) for c in range(b + 1, top + 1))
+    widths, b = [], 0
+    while b < top:
+        b = chosen[b]
+        widths.append(b)
+    return widths
 
-def dac_encode(v: list[int]) -> tuple[bytes, int]:
-    """Levels hold whole values of their width; a bit tells whether a place goes on to the next level."""
-    bits = [x.bit_length() for x in v]
-    histogram = [sum(1 for b in bits if b >= k) for k in range(66)]
-    levels = dac_levels(histogram)
-    w = Writer()
-    w.put(len(levels), 8)
-    rest = v
-    for k, width in enumerate(levels):
-        w.put(width, 8)
-        last = k + 1 == len(levels)
-        over = []
-        for x in rest:
-            more = x.bit_length() > width
-            if not last:
-                w.put(int(more), 1)
-            if more:
-                over.append(x)
-            else:
-                w.put(x, width)
-        rest = over
-    return w.bytes(), w.size
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return 64 - _zeros(x)[0]
 
-def dac_decode(data: bytes, n: int) -> list[int]:
-    r = Reader(data)
-    out: list[int] = [0] * n
-    places = list(range(n))
-    levels = r.get(8)
-    for k in range(levels):
-        width, over = r.get(8), []
-        for p in places:
-            if k + 1 < levels and r.get(1):
-                over.append(p)
-            else:
-                out[p] = r.get(width)
-        places = over
-    return out
 
+def dac_encode(v: list[int]) -> tuple[bytes, int]:
+    """Number of levels; then, each from a whole byte on: width, marks of the values that go on (not in the last level), values that end there.
 
-def pack(values: np.ndarray, width: int) -> bytes:
-    """Values below 2**width, least significant bit first, one after the other."""
-    bits = (values.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    A value is stored whole in the first level it fits, so that one place can be read through its marks alone.
+    """
+    x = np.array(v, np.uint64)
+    lengths = _lengths(x)
+    counts = np.bincount(lengths, minlength=66)
+    levels = dac_levels(counts[::-1].cumsum()[::-1].tolist())
+    out = bytearray([len(levels)])
+    bits = 8
+    for k, width in enumerate(levels):
+        over = lengths > width
+        out.append(width)
+        if k + 1 < len(levels):
+            out += np.packbits(over).tobytes()
+            bits += len(x)
+        out += pack(x[~over], width)
+        bits += 8 + width * int((~over).sum())
+        x, lengths = x[over], lengths[over]
+    return bytes(out), bits
+
+
+def _dac_level(data: bytes, at: int, n: int, last: bool) -> tuple[int, np.ndarray | None, int, int]:
+    """Width, marks, place of the values, and number of those that end in the level which begins at a byte."""
+    width, at = data[at], at + 1
+    if last:
+        return width, None, at, n
+    marks = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) >> 3, at), count=n).astype(bool)
+    return width, marks, at + ((n + 7) >> 3), n - int(marks.sum())
 
 
-def unpack(data: bytes, width: int, n: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=n * width).reshape(n, width).astype(np.uint64)
-    return (bits << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+def dac_decode(data: bytes, n: int) -> list[int]:
+    out, places, at = np.zeros(n, np.uint64), np.arange(n), 1
+    for k in range(data[0]):
+        width, marks, at, ends = _dac_level(data, at, len(places), k + 1 == data[0])
+        here = places if marks is None else places[~marks]
+        size = (ends * width + 7) >> 3
+        out[here] = unpack(data[at : at + size], width, ends)
+        places, at = places[:0] if marks is None else places[marks], at + size
+    return out.tolist()
+
+
+def dac_at(data: bytes, n: int, i: int) -> int:
+    """The ``i``-th value alone: its marks lead down the levels, and one field is read."""
+    at = 1
+    for k in range(data[0]):
+        width, marks, at, ends = _dac_level(data, at, n, k + 1 == data[0])
+        before = i if marks is None else int(marks[:i].sum())
+        if marks is None or not marks[i]:
+            return field(data, 8 * at + width * (i if marks is None else i - before), width)
+        n, i, at = n - ends, before, at + ((ends * width + 7) >> 3)
+    raise ValueError("a value goes on beyond the last level")
 
 
 def _general(name: str):
@@ -310,6 +314,8 @@ def _general(name: str):
     return encode, decode
 
 
+#: Codecs that read one value without decoding its block.
+POINT = {"dac": dac_at}
 CODECS = {
     "gorilla": (gorilla_encode, gorilla_decode),
     "chimp": (chimp_encode, chimp_decode),
