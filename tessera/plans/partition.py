@@ -13,6 +13,7 @@ from tessera.schema import EXPONENTIAL, LINEAR, QUADRATIC, SQRT
 
 # Bits of a fragment besides its residuals, by mode and family.
 LOSSLESS_BITS = {LINEAR: 131, EXPONENTIAL: 131, QUADRATIC: 163, SQRT: 163}
+LOSSY_BITS = {LINEAR: 130, EXPONENTIAL: 130, QUADRATIC: 162, SQRT: 162}
 LINEAR_BITS = {LINEAR: 96}
 #: All families, in the order of their tags after the linear.
 ALL = (LINEAR, EXPONENTIAL, QUADRATIC, SQRT)

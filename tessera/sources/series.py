@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.fragments import cut
+
 
 def to_series(df: DataFrame, series: Column, order: Sequence, value: Column, pos: Column | None = None) -> DataFrame:
     """``series_id, pos, y``: the position in the order of a series, counted from 0. Rows without value are left out.
@@ -24,6 +26,19 @@ def to_series(df: DataFrame, series: Column, order: Sequence, value: Column, pos
     return df.select("series_id", "pos", "y")
 
 
+def to_series_large(df: DataFrame, series: Column, order: Sequence, value: Column) -> DataFrame:
+    """As ``to_series``, for series that no task can hold: range partitions by series and order are written once, and a
+    point's position is its place in its partition plus the points of its series in the partitions before."""
+    names = [f"o{k}" for k in range(len(order))]
+    df = df.select(series.cast("string").alias("series_id"), value.alias("y"), *(c.alias(n) for n, c in zip(names, order, strict=True)))
+    p = cut(df.filter(F.col("y").isNotNull()), "series_id", *names, "y")
+    counts = p.groupBy("series_id", "part").agg(F.count("*").alias("c"), F.min("place").alias("first"))
+    w = Window.partitionBy("series_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition that a series reaches into
+    counts = counts.select(F.col("series_id").alias("of"), F.col("part").alias("in"), (F.coalesce(F.sum("c").over(w), F.lit(0)) - F.col("first")).alias("add"))
+    j = p.join(counts, F.col("series_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
+    return j.select("series_id", (F.col("place") + F.col("add")).cast("bigint").alias("pos"), "y")
+
+
 def cents(c: Column) -> Column:
     return F.round(c * 100).cast("bigint")
 
@@ -35,14 +50,7 @@ def shifts(points: DataFrame, epsilon: int) -> DataFrame:
 
 
 def normalise(points: DataFrame, epsilon: int) -> DataFrame:
-    """``points`` with ``shift``, and ``y`` less it. A window per series; for series of many chunks join ``shifts`` instead."""
-    low = F.min("y").over(Window.partitionBy("series_id"))
-    p = points.withColumn("shift", (F.when(low < 0, low - 1).otherwise(F.lit(-1)) - epsilon).cast("bigint"))
-    return p.withColumn("y", F.col("y") - F.col("shift"))
-
-
-def normalise_large(points: DataFrame, epsilon: int) -> DataFrame:
-    """As ``normalise``, by a join with one row a series: no series has to fit one task."""
+    """``points`` with ``shift``, and ``y`` less it, by a join with one row a series: no series has to fit one task."""
     s = shifts(points, epsilon)
     return points.join(s, "series_id").withColumn("y", F.col("y") - F.col("shift"))
 
