@@ -41,28 +41,39 @@ def partition(y: np.ndarray, models: Sequence[tuple[int, int]], weights=None, er
     fits = [greedy(f, b, y, error) for f, b in models]
     bits = np.array([0.0 if error is not None else b for _, b in models])
     fixed = np.array([weights[f] + extra for f, _ in models])
-    at = np.zeros(m, np.int64)
-    usable = np.array([bool(x[0][2]) for x in fits])
-    ends = np.array([x[0][1] for x in fits])
-    best, origin = np.zeros(m), np.zeros(m, np.int64)
-    cost = np.zeros(n + 1)
+    at = [0] * m
+    begin: dict[int, list[int]] = {}  # models whose fragments end at a place
+    for q, frags in enumerate(fits):
+        begin.setdefault(frags[0][1], []).append(q)
+    # cheapest cost[i] - bits * i since a model's fragment began; infinite where it has none
+    best = np.array([0.0 if frags[0][2] else np.inf for frags in fits])
+    shut = np.isinf(best)
+    any_shut = bool(shut.any())
+    origin = np.zeros(m, np.int64)
     back: list[tuple[int, int, int]] = [(0, 0, 0)] * (n + 1)
+    step = np.zeros(m)
     for k in range(1, n + 1):
-        reach = np.where(usable, best + fixed + bits * k, np.inf)
+        step += bits
+        reach = best + fixed
+        reach += step
         c = int(reach.argmin())
-        if not np.isfinite(reach[c]):
+        cost = reach[c]
+        if cost == np.inf:
             raise ValueError("no model covers a point")
-        cost[k] = reach[c]
-        back[k] = (int(origin[c]), c, int(at[c]))
-        here = cost[k] - bits * k
-        for q in np.flatnonzero(ends == k).tolist():
-            if k < n:
+        back[k] = (int(origin[c]), c, at[c])
+        here = cost - step
+        if k in begin and k < n:
+            for q in begin.pop(k):
                 at[q] += 1
                 f = fits[q][at[q]]
-                ends[q], usable[q] = f[1], bool(f[2])
-                best[q], origin[q] = here[q], k
+                begin.setdefault(f[1], []).append(q)
+                best[q], origin[q], shut[q] = here[q], k, not f[2]
+            any_shut = bool(shut.any())
+        if any_shut:
+            here[shut] = best[shut] = np.inf
         better = here < best
-        best[better], origin[better] = here[better], k
+        origin[better] = k
+        np.minimum(best, here, out=best)
     out, k = [], n
     while k:
         i, c, frag = back[k]
