@@ -338,7 +338,8 @@ def _(s, d):
     return index.lower_bound(r, index.pgm_search(index.pgm_build(r), _probes(s, d), n), n)
 
 
-@query("pgm_lookup_all")  # the correlated SQL of pgm_lookup is too slow for all probes
+@query("pgm_lookup_all", f"""WITH k AS (SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS rank FROM ({_TIMES}))
+SELECT p.probe, coalesce(k.rank, (SELECT count(*) FROM k)) AS rank FROM ({_ALL_PROBES}) p ASOF LEFT JOIN k ON p.probe <= k.key""")
 def _(s, d):
     r = store.materialise(index.ranked(times(s, d)), "ranks")
     n = r.count()
