@@ -179,7 +179,8 @@ def _compare(places: int):
         alone = t["m"].to_numpy() == 1  # the others are repeated as a whole
         p, n = t["p"].to_numpy(), t["n"].to_numpy()
         begin = p[:, None] + np.arange(places)
-        found &= alone[:, None] & (begin >= 0) & (begin + LENGTH <= n[:, None])
+        length = np.fromiter(map(len, t["w"].to_pylist()), np.int64, t.num_rows)  # that of the last range of places is shorter
+        found &= alone[:, None] & (begin >= 0) & (begin + LENGTH <= n[:, None]) & (np.arange(places) + LENGTH <= length[:, None])
         rows = [[], [], []]
         d, th = t["d"].to_pylist(), t["th"].to_pylist()
         for i in np.flatnonzero(found.any(axis=1)).tolist():

@@ -291,6 +291,22 @@ def test_suffix(spark, docs, rows, large, monkeypatch):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(brute_spans([(d, (t or "").encode()) for d, t, *_ in every], suffix.LENGTH))
 
 
+def test_suffix_short_ranges():
+    """The last range of places of a parted collection is shorter; what lies behind its strings is no part of them."""
+    import pyarrow as pa
+
+    shared = bytes(97 + i % 26 for i in range(suffix.LENGTH - 1))
+
+    def found(tail):
+        w = [bytes([x]) * 35 + shared + tail for x in (65, 66)]
+        rows = {"h": [7, 7], "f": [1, 2], "d": [1, 2], "th": [0, 0], "p": [1000, 2000], "n": [9000, 9000], "m": [1, 1], "w": w}
+        b = pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in suffix.WINDOWS], schema=suffix.WINDOWS)
+        return [r for out in suffix._compare(38)([b]) for r in out.to_pylist()]
+
+    assert found(b"") == []
+    assert sorted(tuple(r["spans"]) for r in found(b"x")) == [(1035, 1435), (2035, 2435)]
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "ü", "é\r\n\r\nWARC/1.1" * 200), (None, "n", big), (2, "again", big)]
