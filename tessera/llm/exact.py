@@ -22,9 +22,13 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur more than once; counts are summed before the shuffle and hot keys may be split."""
+    """Rows whose keys occur more than once; counts are summed before the shuffle and hot keys may be split.
+
+    The rows are written: an aggregate above would otherwise take over the join's partitioning, in which all rows
+    of a hot key lie in one task, and count there without summing before its shuffle.
+    """
     shared = rows.groupBy(*keys).agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    return rows.join(spread(shared), keys, "left_semi")
+    return materialise(rows.join(spread(shared), keys, "left_semi"), "repeated")
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
