@@ -40,9 +40,11 @@ def clean_scratch(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Unless the session sets them, rows go to Python in batches of so many: long texts make the default of 10,000 large."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Unless the session sets them, rows go to Python in batches of so many, and of 16 MB unless one row is larger: long
+    texts make the default of 10,000 large."""
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

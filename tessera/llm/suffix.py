@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, materialise, pieces, spread, table
+from tessera.llm.common import batch, materialise, pieces, small_batches, spread, table
 
 LENGTH = 400
 GRAM = 100
@@ -251,6 +251,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     number says that they repeat. The rest is compared in collections of at most LARGE windows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("b"))
     rows = materialise(src.select("d", "th", "b").mapInArrow(_anchor_rows, "d long, th long, h long, f long, at array<int>, m long"), "anchors")
