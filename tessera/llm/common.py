@@ -56,7 +56,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` before the application's end. Only once all that is made of them has been written
+    as well: a lost executor must find everything that is still to be read."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -88,11 +98,11 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 SIEVE_BITS = 1 << 25
 
 
-def sieve(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose long ``key`` is in ``ids`` (one column, distinct), and some others: a cheap first step of a semi-join.
+def sieved(df: DataFrame, ids: DataFrame, key: str, hit: str) -> DataFrame:
+    """``df`` with a boolean ``hit``: true for every row whose long ``key`` is in ``ids`` (one column), and for some others.
 
-    The ids are hashed to a map of bits, 16 an id up to ``SIEVE_BITS``, whose 4 KB pieces are broadcast; so rows that
-    have no match mostly go before anything of them is shuffled. With more ids the map fills up and lets more rows pass.
+    The ids are hashed to a map of bits, 16 an id up to ``SIEVE_BITS``, whose 4 KB pieces are broadcast. With more ids
+    the map fills up and is true for more rows.
     """
     spark, name = df.sparkSession, ids.columns[0]
     bits = min(SIEVE_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
@@ -100,12 +110,17 @@ def sieve(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     at = ids.filter(F.col(name).isNotNull()).select((place(name) + 1).alias("at"))
     pieces_ = at.groupBy(F.bitmap_bucket_number("at").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
     pieces_ = materialise(pieces_, "sieve")
-    p = df.withColumn("__at", place(key))
-    j = p.join(F.broadcast(pieces_), F.shiftright("__at", 15) + 1 == F.col("__piece"))
+    j = df.withColumn("__at", place(key)).join(F.broadcast(pieces_), F.shiftright("__at", 15) + 1 == F.col("__piece"), "left")
     low = F.col("__at").bitwiseAND(F.lit(32767))
     byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), low.bitwiseAND(F.lit(7)).cast("int"))) != 0
-    return j.filter(hit).select(*df.columns)
+    on = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), low.bitwiseAND(F.lit(7)).cast("int"))) != 0
+    return j.withColumn(hit, F.coalesce(on, F.lit(False))).select(*df.columns, hit)
+
+
+def sieve(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose long ``key`` is in ``ids`` (one column, distinct), and some others: a cheap first step of a
+    semi-join, by ``sieved``; so rows that have no match mostly go before anything of them is shuffled."""
+    return sieved(df, ids, key, "__hit").filter("__hit").drop("__hit")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, materialise, pieces, small_batches, spread, table
+from tessera.llm.common import batch, discard, materialise, pieces, sieve, sieved, small_batches, spread, table
 
 LENGTH = 400
 GRAM = 100
@@ -256,17 +256,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("b"))
     rows = materialise(src.select("d", "th", "b").mapInArrow(_anchor_rows, "d long, th long, h long, f long, at array<int>, m long"), "anchors")
     twice = rows.groupBy("h").agg(F.sum("m").alias("c")).filter("c > 1").select("h")
-    rows = materialise(rows.join(spread(twice), "h", "left_semi"), "shared")
+    every, rows = rows, materialise(rows.join(spread(twice), "h", "left_semi"), "shared")
+    discard(every)
     same = materialise(rows.groupBy("h", "f").agg(F.sum("m").alias("m"), F.min(F.struct("d", "th", F.col("at")[0].alias("p"))).alias("rep")), "windows")
     whole = same.filter("m > 1").select("h", "f")
     found = [rows.join(spread(whole), ["h", "f"], "left_semi").select("d", "th", F.flatten(F.transform("at", lambda p: F.array(p - (PLACES - 1), p + LENGTH))).alias("spans"))]
 
     size = same.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     need = same.join(spread(size), "h").select("rep.d", "rep.th", F.struct("h", "f", "rep.p", "m").alias("x"))
-    need = need.groupBy("d", "th").agg(F.collect_list("x").alias("need"))
-    texts = src.select(F.col("d").alias("d0"), F.col("th").alias("th0"), "b").join(spread(need), (F.col("d0") == F.col("d")) & (F.col("th0") == F.col("th")))
+    need = materialise(need.groupBy("d", "th").agg(F.collect_list("x").alias("need")), "need")
+    texts = sieve(src.select(F.col("d").alias("d0"), F.col("th").alias("th0"), "b"), need.select("d").distinct(), "d0").join(spread(need), (F.col("d0") == F.col("d")) & (F.col("th0") == F.col("th")))
     windows = texts.select("d", "th", "b", "need").mapInArrow(_window_rows, _WINDOW_SQL).dropDuplicates(["h", "f"])
     windows = materialise(windows.withColumn("p", F.col("p") - (PLACES - 1)), "collections")
+    discard(need)
+    written = [rows, same]
     for level, places in enumerate(LEVELS):
         size = windows.groupBy("h").agg(F.count("*").alias("c"))
         part = windows.join(spread(size.filter(f"c > 1 AND c <= {LARGE}").select("h")), "h", "left_semi")
@@ -277,18 +280,23 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             break
         each = windows.join(spread(large), "h", "left_semi").mapInArrow(_parted(level + 1), _WINDOW_SQL)
         each = materialise(each, "parts")
+        discard(windows)
         same = each.groupBy("h", "f").agg(F.sum("m").alias("c"))
         whole = spread(same.filter("c > 1").select("h", "f"))
         found.append(materialise(each.filter("m = 1").join(whole, ["h", "f"], "left_semi").select("d", "th", F.array("p", F.col("p") + F.octet_length("w")).alias("spans")), "parted"))
         first = each.groupBy("h", "f").agg(F.min(F.struct("d", "th", "p")).alias("rep"), F.sum("m").alias("c"))
         windows = each.drop("m").join(spread(first), ["h", "f"]).filter("rep.d = d AND rep.th = th AND rep.p = p").withColumn("m", F.col("c")).drop("rep", "c")
         windows = materialise(windows.select("h", "f", "d", "th", "p", "n", "m", "w"), "collections")
+        discard(each)
     spans = found[0]
     for x in found[1:]:
         spans = spans.unionByName(x)
     spans = spans.groupBy("d", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = materialise(spans, "all_spans").select(F.col("d").alias("d0"), F.col("th").alias("th0"), "spans")
-    out = src.join(spans, (F.col("d") == F.col("d0")) & (F.col("th") == F.col("th0")), "left").select("doc_id", "b", "spans")
+    discard(windows, *written, *found[1:])
+    src = sieved(src, spans.select("d0").distinct(), "d", "hit")  # texts that surely lose nothing aren't shuffled
+    out = src.filter("hit").join(spans, (F.col("d") == F.col("d0")) & (F.col("th") == F.col("th0")), "left").select("doc_id", "b", "spans")
+    out = out.unionByName(src.filter("NOT hit").select("doc_id", "b", F.lit(None).cast("array<int>").alias("spans")))
     return out.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
 
 
