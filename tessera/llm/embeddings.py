@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, connected_components, materialise, pieces, spread, table
+from tessera.llm.common import batch, connected_components, materialise, pieces, small_batches, spread, table
 
 SIMILARITY = 0.9
 #: Share of the pairs at just that similarity which some table is to bring together; more similar pairs do better.
@@ -94,6 +94,7 @@ def links(vectors: DataFrame, bits: int, tables: int, similarity: float, seed: i
     """``a, b, n`` for distinct vectors (``rep, mult, embedding``): edges ``a, b`` of spanning forests, and rows with null
     ``b`` that add ``n`` links to ``a``. Each link counts in the first table that brings its ends together."""
     spark = vectors.sparkSession
+    small_batches(spark)
 
     def sign(batches):
         for b in pieces(batches, rows=4096):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, pieces, table
+from tessera.llm.common import batch, pieces, small_batches, table
 
 # Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -412,6 +412,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(h) for h in b["html"].to_pylist()]
             yield batch(TEXTS, [b["page_id"], [t.encode("utf-8", "replace").decode() for t in texts], [t.count("\n") + 1 if t else 0 for t in texts]])
 
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string, n_lines long")
 
 

@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, materialise, pieces, scratch_dir, spread, table
+from tessera.llm.common import batch, materialise, pieces, scratch_dir, small_batches, spread, table
 
 #: Payloads under this many bytes are always stored in full.
 LEAST_REVISIT = 1000
@@ -90,6 +90,7 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
 
     store, path = _open(to)
     store.create_dir(path, recursive=True)
+    small_batches(pages.sparkSession)
     return materialise(pages.mapInArrow(run, "file string, bytes long, records long"), "archives")
 
 
