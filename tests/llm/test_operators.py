@@ -291,6 +291,28 @@ def test_suffix(spark, docs, rows, large, monkeypatch):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(brute_spans([(d, (t or "").encode()) for d, t, *_ in every], suffix.LENGTH))
 
 
+def test_suffix_joins_replanned(spark, monkeypatch):
+    """A join that becomes a broadcast at run time leaves rows where they were read; a collection stays in one task all the same."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(90) for _ in range(30)]
+    every = [(i, f"{text(rnd.randint(1, 80))} {passages[i % 30]} {text(rnd.randint(1, 80))}") for i in range(120)]
+    monkeypatch.setattr(suffix, "LARGE", 3)  # collections of four windows are parted, others compared at once
+    every += [(1000 + i, f"{text(rnd.randint(1, 80))} {text(100) if i % 2 else passages[i]} {text(rnd.randint(1, 80))}") for i in range(30)]
+    every += [(2000 + i, every[i * 3][1][40:]) for i in range(40)]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = suffix.repeated_spans(spark.createDataFrame(every, "doc_id long, text string").repartition(8)).drop("spans").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(brute_spans([(d, t.encode()) for d, t in every], suffix.LENGTH))
+
+
 def test_suffix_short_ranges():
     """The last range of places of a parted collection is shorter; what lies behind its strings is no part of them."""
     import pyarrow as pa
